@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, mixing, sharding, simhash
+from . import chat, decontaminate, gif, langid, licenses, mixing, quality, sharding, simhash, warc
 from .common import table
 
 
@@ -20,6 +20,14 @@ def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
+def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.gif_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
@@ -28,10 +36,57 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_digest(table(spark, sf_dir, "pages"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_hypergeometric_shards, op6_simhash, op7_license_scan, op10_chat_format)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate,
+        op2_mix_sources,
+        op3_hypergeometric_shards,
+        op4_language_id,
+        op5_gif,
+        op6_simhash,
+        op7_license_scan,
+        op8_warc,
+        op9_quality,
+        op10_chat_format,
+    )
+}
+
+_ESCAPED = r"""regexp_replace(coalesce({}, ''), '<(\\*)\|', '<\\\1|', 'g')"""
+_ROLE = f"""replace(replace({_ESCAPED.format("role")}, '%', '%25'), chr(10), '%0A')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_chat_format": f"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   length({_ROLE}) + length({_ESCAPED.format("text")}) + 24 AS chars
+            FROM (
+                SELECT conv_id, turn, role, text FROM conversations
+                UNION ALL
+                SELECT -1, t.turn, t.role, '<|im_end|><|im_start|>assistant ok'
+                FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)
+            )
+        ), said AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+                   coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+                   sum(chars) AS formatted_chars
+            FROM rows GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+               CAST(formatted_chars AS BIGINT) AS formatted_chars
+        FROM said
+    """,
+}
