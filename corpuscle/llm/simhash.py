@@ -178,6 +178,10 @@ def links(fingerprints: DataFrame, threshold: int = 4, partitions: int | None =
     return by_anchor.sortWithinPartitions("anchor").mapInPandas(compare, "a long, b long").distinct()
 
 
+def _hex(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(col(fp)), 16, "0"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 4) -> DataFrame:
     """``docs`` with ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -193,18 +197,36 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     marked = docs.withColumn(fp, fingerprint_column(col(text)))
     classes = classes_of(marked.select(col(key).alias("id"), col(fp).alias("fp")), threshold)
     return marked.join(classes.withColumnRenamed("fp", fp), fp).select(
-        *[col(c) for c in kept], F.lower(F.lpad(F.hex(col(fp)), 16, "0")).alias("fingerprint"), "component_id"
+        *[col(c) for c in kept], _hex(fp).alias("fingerprint"), "component_id"
     )
 
 
 def classes_of(prints: DataFrame, threshold: int = 4) -> DataFrame:
-    """``(fp, component_id)`` of each distinct fingerprint of ``(id, fp)`` rows."""
+    """``(fp, component, component_id)`` of each distinct fingerprint of ``(id, fp)`` rows.
+
+    ``component`` is the component's least fingerprint, ``component_id`` its smallest id.
+    """
     smallest = written(prints.groupBy("fp").agg(F.min("id").alias("id")), "simhash")
     found = connected_components(links(smallest, threshold))
     component = F.coalesce("root", "fp").alias("component")
     labelled = smallest.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", component)
     least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
-    return labelled.join(least, "component").select("fp", "component_id")
+    return labelled.join(least, "component").select("fp", "component", "component_id")
+
+
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 4) -> DataFrame:
+    """One document of each group of near duplicates, with its columns as they are: that with the smallest ``key``.
+
+    Null keys come last; of rows of equal key and text in a group, one stays.
+    """
+    (row,) = fresh(docs, "row")
+    row_of = F.xxhash64(col(key), col(text))
+    fp = fingerprint_column(col(text))
+    narrow = written(docs.select(col(key).alias("id"), row_of.alias("row"), fp.alias("fp")), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    by_print = narrow.groupBy("fp").agg(first)  # in part before the shuffle, as copies share a fingerprint
+    best = by_print.join(classes_of(narrow, threshold).select("fp", "component"), "fp").groupBy("component").agg(F.min("first").alias("first"))
+    return docs.withColumn(row, row_of).join(best.select(F.col("first.row").alias(row)), row, "left_semi").dropDuplicates([row]).drop(row)
 
 
 def simhash_report(documents: DataFrame) -> DataFrame:
