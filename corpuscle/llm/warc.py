@@ -81,37 +81,50 @@ def _headers(head: bytes) -> tuple[str, dict[str, str]]:
     out = {}
     for line in lines:
         name, sep, value = line.partition(":")
-        if not sep:
+        if not sep or not re.fullmatch(r"[!-9;-~]+", name):
             raise WarcError(f"header line {line[:80]!r}")
-        out[name.strip().lower()] = value.strip()
+        out[name.lower()] = value.strip()
     return first, out
 
 
+def _needed(headers: dict[str, str], name: str) -> str:
+    if name not in headers:
+        raise WarcError(f"no {name} header")
+    return headers[name]
+
+
+def _length(headers: dict[str, str]) -> int:
+    said = _needed(headers, "content-length")
+    if not (said.isascii() and said.isdigit()):
+        raise WarcError(f"content length {said!r}")
+    return int(said)
+
+
 def parse_record(data: bytes) -> tuple:
     """The columns of RECORD; a revisit's payload is None. Raises WarcError if anything does not fit."""
     head, sep, rest = data.partition(b"\r\n\r\n")
     first, headers = _headers(head)
     if not sep or first != VERSION:
         raise WarcError(f"not a {VERSION} record: {first[:80]!r}")
-    length = int(headers["content-length"])
+    length = _length(headers)
     block, after = rest[:length], rest[length:]
     if len(block) != length or after != b"\r\n\r\n":
         raise WarcError(f"record of {len(rest) - 4} bytes says {length}")
-    kind = headers["warc-type"]
+    kind = _needed(headers, "warc-type")
     if kind not in ("response", "revisit"):
         raise WarcError(f"record type {kind!r}")
     http, sep, payload = block.partition(b"\r\n\r\n")
     status, fields = _headers(http)
-    size = int(fields["content-length"])
+    size = _length(fields)
     if not sep or not status.startswith("HTTP/"):
         raise WarcError("no HTTP headers")
     if len(payload) != (size if kind == "response" else 0):
         raise WarcError(f"{kind} with a payload of {len(payload)} bytes says {size}")
-    said = headers["warc-payload-digest"].removeprefix("sha1:")
+    said = _needed(headers, "warc-payload-digest").removeprefix("sha1:")
     if kind == "response" and digest(payload) != said:
         raise WarcError("the payload has another digest")
     revisit = kind == "revisit"
-    return _page(headers["warc-record-id"]), headers.get("warc-target-uri"), kind, _page(headers.get("warc-refers-to")) if revisit else None, said, size, None if revisit else payload
+    return _page(_needed(headers, "warc-record-id")), headers.get("warc-target-uri"), kind, _page(headers.get("warc-refers-to")) if revisit else None, said, size, None if revisit else payload
 
 
 def train_dictionary(records: list[bytes], size: int = 16_384) -> bytes:
