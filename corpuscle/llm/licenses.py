@@ -160,6 +160,6 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", votes: float
             F.array_max(at).alias("last_word"),
             F.array_join(F.array_sort(labelled), ",").alias("base_labels"),
             F.array_join(F.array_sort(F.array_union(labelled, F.coalesce("found", F.array().cast("array<string>")))), ",").alias("labels"),
-            F.least(F.coalesce("score", F.lit(0.0)), F.lit(1.0)).alias("score"),
+            F.round(F.least(F.coalesce("score", F.lit(0.0)), F.lit(1.0)), 6).alias("score"),
         )
     )

@@ -67,7 +67,64 @@ QUERIES = {
 _ESCAPED = r"""regexp_replace(coalesce({}, ''), '<(\\*)\|', '<\\\1|', 'g')"""
 _ROLE = f"""replace(replace({_ESCAPED.format("role")}, '%', '%25'), chr(10), '%0A')"""
 
+_TEMPLATES = ", ".join(f"({t}, '{label}', '{text}')" for t, (label, text, _) in enumerate(licenses.TEMPLATES))
+_MANDATORY = ", ".join(f"({t}, '{p}')" for t, (_, _, phrases) in enumerate(licenses.TEMPLATES) for p in phrases)
+_PHRASES = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
+_HEX = "(strpos('0123456789abcdef', sha[{}]) - 1)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_license_scan": rf"""
+        WITH lists AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{licenses.SEPARATORS}'), lambda w: w <> '') AS words
+            FROM documents
+        ), tok AS (
+            SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM lists
+        ), base AS (
+            SELECT doc_id, pos, label FROM tok JOIN lists USING (doc_id)
+            JOIN (VALUES {_PHRASES}) AS p(phrase, label) ON words[pos + 1:pos + len(string_split(phrase, ' '))] = string_split(phrase, ' ')
+        ), template AS (
+            SELECT t, label, string_split(wording, ' ') AS wording FROM (VALUES {_TEMPLATES}) AS v(t, label, wording)
+        ), posting AS (
+            SELECT t, unnest(wording) AS word, unnest(range(len(wording))) AS place FROM template
+        ), idf AS (
+            SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)) + 1e-9 AS idf
+            FROM (SELECT DISTINCT word FROM posting) LEFT JOIN tok USING (word) GROUP BY word
+        ), least AS (
+            SELECT t, min(idf) AS least FROM (
+                SELECT t, idf, row_number() OVER (PARTITION BY t ORDER BY idf DESC) AS rn
+                FROM (SELECT DISTINCT t, word FROM posting) JOIN idf USING (word)
+            ) WHERE rn <= 4 GROUP BY t
+        ), rare AS (
+            SELECT t, word, place, idf, sum(idf) OVER (PARTITION BY t) AS mass
+            FROM posting JOIN idf USING (word) JOIN least USING (t) WHERE idf >= least
+        ), voted AS (
+            SELECT doc_id, t, pos - place AS shift, sum(idf) / any_value(mass) AS share
+            FROM tok JOIN rare USING (word) GROUP BY doc_id, t, pos - place HAVING sum(idf) / any_value(mass) >= 0.6
+        ), must AS (
+            SELECT m.t, p.place, string_split(m.phrase, ' ') AS phrase FROM (VALUES {_MANDATORY}) AS m(t, phrase)
+            JOIN template USING (t) JOIN posting p ON p.t = m.t AND wording[place + 1:place + len(string_split(m.phrase, ' '))] = string_split(m.phrase, ' ')
+        ), notice AS (
+            SELECT doc_id, list(DISTINCT label) AS found, max(share) AS score FROM voted JOIN must USING (t) JOIN template USING (t) JOIN lists USING (doc_id)
+            WHERE shift + place >= 0 AND words[shift + place + 1:shift + place + len(phrase)] = phrase GROUP BY doc_id
+        ), places AS (
+            SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               coalesce(array_to_string(list_sort(labels), ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(found, [])))), ','), '') AS labels,
+               round(least(coalesce(score, 0.0), 1.0), 6) AS score
+        FROM lists LEFT JOIN places USING (doc_id) LEFT JOIN notice USING (doc_id)
+    """,
+    "op8_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages),
+        top AS (SELECT payload, max(page_id) AS top FROM p GROUP BY payload)
+        SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+                   ((({_HEX.format("(5 * i) // 4 + 1")} * 16 + {_HEX.format("(5 * i) // 4 + 2")}) >> CAST(3 - (5 * i) % 4 AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM p JOIN top USING (payload)
+    """,
     "op10_chat_format": f"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
