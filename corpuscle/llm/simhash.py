@@ -230,4 +230,7 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", thresho
 
 
 def simhash_report(documents: DataFrame) -> DataFrame:
-    return near_duplicates(documents.select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
+    """doc_id, fingerprint and component_id of all documents."""
+    narrow = written(documents.select("doc_id", fingerprint_column(F.col("text")).alias("fp")), "fingerprints")
+    classes = classes_of(narrow.withColumnRenamed("doc_id", "id"))
+    return narrow.join(classes, "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
