@@ -16,10 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuscle.session import ship
+
 from .common import col, fresh, written
 from .components import connected_components
 
@@ -58,6 +60,7 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 def fingerprint_column(text: Column) -> Column:
     """The fingerprint as a long (the bits of the unsigned number)."""
+    ship(SparkSession.getActiveSession())
     return F.pandas_udf(_fingerprints, T.LongType())(text)
 
 
@@ -139,6 +142,8 @@ def links(fingerprints: DataFrame, threshold: int = 4, partitions: int | None =
     if not 0 <= threshold < 2 * BLOCKS:
         raise ValueError("the anchors are laid out for 0 to 5 differing bits")
 
+    ship(fingerprints.sparkSession)
+
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = batch["fp"].to_numpy(dtype=np.int64).view(np.uint64)

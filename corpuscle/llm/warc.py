@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscle.session import ship
+
 from .common import col, shared_dir
 
 #: Fixed values of the formats: the dictionary's skippable frame, a Zstandard frame, a dictionary.
@@ -224,6 +226,7 @@ def write_archives(records: DataFrame, folder: str, archive_mb: float = 8, sampl
         if held:
             yield end()
 
+    ship(records.sparkSession)
     typed = records.select(F.col("page_id").cast("string"), "url", "payload", F.col("refers_to").cast("string"), "revisit")
     return typed.mapInPandas(write, "path string, records long")
 
@@ -256,6 +259,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
     return files.select("content").mapInArrow(read, RECORD)
 
