@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuscle.session import ship
+
 from .common import col, fresh
 
 TEXT_DIMS, SOURCE_DIMS, LANG_DIMS = 1024, 64, 16
@@ -68,7 +70,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1
     x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
     w, look = np.zeros(x.shape[1], dtype=np.float32), np.zeros(x.shape[1], dtype=np.float32)
     weight = (weight / weight.sum()).astype(np.float32)
-    rate = np.float32(1 / (0.25 * float((weight * (x * x).sum(axis=1)).sum()) + l2))
+    rate = np.float32(1 / (0.25 * float((weight * np.einsum("ij,ij->i", x, x)).sum()) + l2))
     for t in range(1, steps + 1):
         slope = x.T @ (weight * (sigmoid(x @ look) - y).astype(np.float32)) + np.float32(l2) * look
         new = look - rate * slope
@@ -142,13 +144,14 @@ def co_train(
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", key: str = "doc_id", label: str = "quality", most_labelled: int = 6000, most_pool: int = 6000
+    docs: DataFrame, labels: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", key: str = "doc_id", label: str = "quality", most_labelled: int = 4000, most_pool: int = 4000
 ) -> Model:
     """Learns from bounded samples: ``most_labelled`` labelled keys and ``most_pool`` keys without a label.
 
     Samples are the keys of the least hashes. Of several labels of a key the lowest counts; null labels and keys
     do not. Too few labels, or labels of one class only, give their mean as everyone's score (no label: 1).
     """
+    ship(docs.sparkSession)
     known = labels.where(col(label).isNotNull() & col(key).isNotNull()).groupBy(col(key).alias("id")).agg(F.min(col(label)).alias("y"))
     least = lambda df, n: df.orderBy(F.xxhash64("id"), "id").limit(n)
     rest = docs.select(col(key).alias("id")).where("id is not null").join(known, "id", "left_anti")
@@ -168,7 +171,9 @@ def fit(
         .orderBy("id")
         .toPandas()
     )
-    x = np.frombuffer(b"".join(rows["x"]), dtype=np.float16).reshape(len(rows), TEXT_DIMS + META_DIMS).astype(np.float32)
+    x = np.empty((len(rows), TEXT_DIMS + META_DIMS), dtype=np.float32)
+    for i, raw in enumerate(rows.pop("x")):
+        x[i] = np.frombuffer(raw, dtype=np.float16)
     y = rows["y"].to_numpy(dtype=float)
     on = ~np.isnan(y)
     parts = lambda which: (x[which, :TEXT_DIMS], x[which, TEXT_DIMS:])
@@ -177,6 +182,7 @@ def fit(
 
 def score_columns(docs: DataFrame, model: Model, text: str = "text", source: str = "source", lang: str = "lang") -> Column:
     """A struct of content, metadata and score, each in [0, 1]."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two weight vectors
 
     def score(texts: pd.Series, sources: pd.Series, langs: pd.Series) -> pd.DataFrame:
