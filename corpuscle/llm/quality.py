@@ -1,12 +1,13 @@
 """Quality classifier by co-training of two views.
 
 One classifier sees the text's content (hashed byte trigrams), the other its metadata (source, language,
-length and layout). Over rounds each labels the unlabelled documents it is surest of for the other. Both
+length, layout and repetition). Over rounds each labels the unlabelled documents it is surest of for the other. Both
 are calibrated on labelled documents kept from training and combined to score all documents.
 """
 
 from __future__ import annotations
 
+import operator
 import zlib
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from corpuscle.session import ship
 from .common import col, fresh
 
 TEXT_DIMS, SOURCE_DIMS, LANG_DIMS = 1024, 64, 16
-LAYOUT = 9
+LAYOUT = 11
 META_DIMS = LAYOUT + SOURCE_DIMS + LANG_DIMS
 
 
@@ -39,7 +40,7 @@ def content_view(text: str | None) -> np.ndarray:
 
 
 def metadata_view(text: str | None, source: str | None, lang: str | None) -> np.ndarray:
-    """Length and layout of a text, and hashed source and language (null: a value of its own)."""
+    """Length, layout and repetition of a text, and hashed source and language (null: a value of its own)."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
     n = max(1, len(raw))
     kinds = np.bincount(raw, minlength=256)
@@ -47,10 +48,13 @@ def metadata_view(text: str | None, source: str | None, lang: str | None) -> np.
     upper, lower, digits = int(kinds[65:91].sum()), int(kinds[97:123].sum()), int(kinds[48:58].sum())
     ends = int(kinds[[33, 44, 46, 58, 59, 63]].sum())
     marks = int(kinds[33:48].sum() + kinds[58:65].sum() + kinds[91:97].sum() + kinds[123:127].sum()) - ends
+    words = (text or "").split()
+    twice = sum(map(operator.eq, words, words[1:])) / max(1, len(words) - 1)
+    repeated = np.log(max(1, len(words)) / max(1, len(set(words))))
     out = np.zeros(META_DIMS, dtype=np.float32)
     out[:LAYOUT] = (
         np.log1p(len(raw)) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 10, blanks / n * 4, upper / max(1, upper + lower) * 2,
-        digits / n * 4, marks / n * 8, ends / n * 8, int(kinds[33]) / n * 8,
+        digits / n * 4, marks / n * 8, ends / n * 8, int(kinds[33]) / n * 8, twice * 2, repeated / 4,
     )
     out[LAYOUT + _bucket(source, SOURCE_DIMS)] = 0.5
     out[LAYOUT + SOURCE_DIMS + _bucket(lang, LANG_DIMS)] = 0.5
