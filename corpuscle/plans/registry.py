@@ -14,6 +14,7 @@ from corpuscle.operators import corpus as C
 from corpuscle.operators import dense, embed, lexical
 from corpuscle.operators import rank as R
 from corpuscle.sources import sinks
+from corpuscle.sources.readers import spread
 
 from . import validate
 
@@ -40,7 +41,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.dedup_first(documents(spark, sf_dir).select("doc_id", "text"))
+    return C.dedup_first(spread(documents(spark, sf_dir).select("doc_id", "text")))
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

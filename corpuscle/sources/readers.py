@@ -51,3 +51,9 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     return lines.selectExpr("split(trim(value), ' ') AS parts").where("size(parts) > 2").selectExpr(
         "parts[0] AS word", "transform(slice(parts, 2, size(parts) - 1), x -> cast(x AS float)) AS vector"
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer partitions than these: a small file is often one row group."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
