@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuscle.session import ship
+
 from .common import col, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -46,6 +48,34 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+class Trie:
+    """The vocabulary as transitions ``(node, character) -> node`` in sorted arrays, followed for many texts at once."""
+
+    def __init__(self, pieces: dict[str, int]):
+        child: dict[int, int] = {}
+        piece = [-1]
+        for text, p in pieces.items():
+            node = 0
+            for c in text:
+                key = node << 21 | ord(c)
+                if key not in child:
+                    child[key] = len(piece)
+                    piece.append(-1)
+                node = child[key]
+            piece[node] = p
+        self.piece = np.array(piece, dtype=np.int64)
+        self.keys = np.array(sorted(child), dtype=np.int64)
+        self.nodes = np.array([child[k] for k in sorted(child)], dtype=np.int64)
+
+    def step(self, nodes: np.ndarray, characters: np.ndarray) -> np.ndarray:
+        """The next nodes; -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(nodes), -1)
+        wanted = nodes << 21 | characters
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.nodes[at], -1)
+
+
 class Lattice:
     """All segmentations of some words: edges ``(word, start, end, piece)`` as arrays.
 
@@ -53,26 +83,32 @@ class Lattice:
     ids from ``-1`` down stand for these.
     """
 
-    def __init__(self, words: list[str], pieces: dict[str, int]):
-        longest = max(map(len, pieces), default=1)
-        word, start, end, piece, self.others = [], [], [], [], {}
-        get = pieces.get
-        for w, text in enumerate(words):
-            text = MARK + text
-            n = len(text)
-            for i in range(n):
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    p = get(text[i:j])
-                    if p is None:
-                        if j > i + 1:
-                            continue
-                        p = self.others.setdefault(text[i], -1 - len(self.others))
-                    word.append(w)
-                    start.append(i)
-                    end.append(j)
-                    piece.append(p)
-        self.word, self.start, self.end, self.piece = (np.array(x, dtype=np.int64) for x in (word, start, end, piece))
+    def __init__(self, words: list[str], pieces: dict[str, int] | Trie):
+        trie = pieces if isinstance(pieces, Trie) else Trie(pieces)
         self.size = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        text = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        first = np.cumsum(self.size) - self.size
+        word = np.repeat(np.arange(len(words)), self.size)
+        limit = (first + self.size)[word]
+        start, at = np.arange(len(text)), np.arange(len(text))
+        node, lone, found = np.zeros(len(text), dtype=np.int64), np.ones(len(text), dtype=bool), []
+        while len(start):
+            node = trie.step(node, text[at])
+            on = node >= 0
+            start, at, node = start[on], at[on] + 1, node[on]
+            ends = trie.piece[node] >= 0
+            found.append((start[ends], at[ends], trie.piece[node[ends]]))
+            if len(found) == 1:
+                lone[start[ends]] = False
+            on = at < limit[start]
+            start, at, node = start[on], at[on], node[on]
+        others, which = np.unique(text[lone], return_inverse=True)
+        self.others = {chr(c): -1 - i for i, c in enumerate(others.tolist())}
+        alone = np.flatnonzero(lone)
+        found.append((alone, alone + 1, -1 - which))
+        begin, end, self.piece = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+        self.word = word[begin]
+        self.start, self.end = begin - first[self.word], end - first[self.word]
 
     def edge_scores(self, logp: np.ndarray, of_byte: np.ndarray) -> np.ndarray:
         """``[edge, language]``."""
@@ -118,7 +154,7 @@ class Lattice:
         return out
 
 
-def in_lattices(words: list[str], pieces: dict[str, int], step: int = 4000) -> Iterator[tuple[list[int], Lattice]]:
+def in_lattices(words: list[str], pieces: Trie, step: int = 4000) -> Iterator[tuple[list[int], Lattice]]:
     """Lattices of the words, with the places of these in the list; long words stand alone."""
     short = [i for i, w in enumerate(words) if len(w) <= LONG]
     for k in range(0, len(short), step):
@@ -133,6 +169,7 @@ class Model:
 
     def __init__(self, langs: list[str], logp: np.ndarray, pieces: dict[str, int], of_byte: np.ndarray, most: int = 200_000):
         self.langs, self.logp, self.pieces, self.of_byte, self.most = langs, logp, pieces, of_byte, most
+        self.trie = Trie(pieces)
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, len(langs)))
 
@@ -146,7 +183,7 @@ class Model:
         if not new:
             return
         rows = np.zeros((len(new), len(self.langs)))
-        for at, lattice in in_lattices(new, self.pieces):
+        for at, lattice in in_lattices(new, self.trie):
             rows[at] = lattice.marginals(self.logp, self.of_byte)
         self.known.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
         self.table = np.concatenate([self.table, rows])
@@ -185,6 +222,7 @@ def fit(
     each piece's expected count. No rows give a model without languages.
     """
     spark = labelled.sparkSession
+    ship(spark)
     pieces, of_byte = load_pieces(path)
     size = max([*pieces.values(), *of_byte.tolist()]) + 1
     rows = labelled.where(col(lang).isNotNull()).select(col(lang).cast("string").alias("lang"), col(text).alias("text"), F.xxhash64(col(key)).alias("h"))
@@ -201,11 +239,12 @@ def fit(
 
         def expect(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             langs, logp, pieces, of_byte = shared.value
+            trie = Trie(pieces)
             total = np.zeros_like(logp)
             for batch in batches:
                 for name, part in batch.groupby("lang"):
                     k, words, n = langs.index(name), part["word"].tolist(), part["n"].to_numpy()
-                    for at, lattice in in_lattices(words, pieces):
+                    for at, lattice in in_lattices(words, trie):
                         total[:, k] += lattice.expected(logp[:, k : k + 1], of_byte, n[at])
             piece, k = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "k": k, "n": total[piece, k]})
@@ -223,6 +262,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Only the text is looked at. Columns of ``docs`` with the two names are replaced.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(series: pd.Series) -> pd.DataFrame:
