@@ -60,7 +60,7 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 def fingerprint_column(text: Column) -> Column:
     """The fingerprint as a long (the bits of the unsigned number)."""
-    ship(SparkSession.getActiveSession())
+    ship(SparkSession.active())
     return F.pandas_udf(_fingerprints, T.LongType())(text)
 
 
