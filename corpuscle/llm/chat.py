@@ -16,6 +16,8 @@ from .common import let, written
 START, END = "<|im_start|>", "<|im_end|>"
 #: After END, before the next START.
 TAIL = END + "\n"
+#: The tree of the conversation without an id.
+NO_ID = "none"
 
 
 def escape(text: Column) -> Column:
@@ -82,6 +84,7 @@ def format_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     lists ``(turn, start, length)``: code points within the turn's chunk, which begins at its START. It
     covers each assistant text, without its template.
     """
+    messages = written(messages.select("tree", "node", "parent", "role", "text", "score"), "messages")
     paths = reply_paths(messages)
     chosen = rank_branches(messages, paths, branches)
     body = messages.select(
@@ -129,7 +132,7 @@ def as_threads(conversations: DataFrame) -> DataFrame:
     Rows of equal turn are ordered by role and text; a null turn comes first. Null conv_ids form one
     conversation.
     """
-    tree = F.when(F.col("conv_id").isNull(), "none").otherwise(F.concat(F.lit("id "), F.col("conv_id").cast("string")))
+    tree = F.when(F.col("conv_id").isNull(), NO_ID).otherwise(F.concat(F.lit("id "), F.col("conv_id").cast("string")))
     at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     rows = conversations.select("conv_id", "turn", "role", "text").select(tree.alias("tree"), "conv_id", at.alias("node"), "role", "text")
     return rows.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
@@ -150,11 +153,11 @@ def with_probe(conversations: DataFrame) -> DataFrame:
 def chat_digest(conversations: DataFrame) -> DataFrame:
     """Each conversation formatted and read back: counts and hashes of its turns and of its loss text."""
     messages = as_threads(with_probe(conversations))
-    names = messages.where("node = 1").select("tree", "conv_id")
     out = format_paths(messages).withColumn("back", read_back(F.col("formatted"), F.col("loss_mask")))
     turns = F.array_join(F.transform("back.turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.join(names, "tree").select(
-        "conv_id",
+    conv_id = F.when(F.col("tree") != NO_ID, F.substring_index("tree", " ", -1).cast(conversations.schema["conv_id"].dataType))
+    return out.select(
+        conv_id.alias("conv_id"),
         F.size("back.turns").cast("long").alias("n_turns"),
         F.sha2(turns, 256).alias("turns_sha256"),
         F.length("back.loss_text").cast("long").alias("loss_chars"),
