@@ -35,46 +35,52 @@ class GifError(ValueError):
 
 
 def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
-    """The code stream of samples below ``2 ** bits``, compressed."""
+    """The code stream of samples below ``2 ** bits``, compressed. The clear code follows when the table is full."""
     clear, end = 1 << bits, (1 << bits) + 1
-    codes, widths = [clear], [bits + 1]
-    width, table, following = bits + 1, {}, end + 1
+    codes, starts = [clear], [1]
+    table, following = {}, end + 1
+    known, emit = table.get, codes.append
     held = -1
     for sample in samples:
         if held < 0:
             held = sample
             continue
         key = held << 8 | sample
-        longer = table.get(key)
+        longer = known(key)
         if longer is not None:
             held = longer
             continue
-        codes.append(held)
-        widths.append(width)
+        emit(held)
         if following < MAX_CODES:
             table[key] = following
-            if following == 1 << width and width < MAX_BITS:
-                width += 1
             following += 1
         else:
-            codes.append(clear)
-            widths.append(width)
-            width, table, following = bits + 1, {}, end + 1
+            emit(clear)
+            starts.append(len(codes))
+            table.clear()
+            following = end + 1
         held = sample
     if held >= 0:
-        codes.append(held)
-        widths.append(width)
-        if following == 1 << width and width < MAX_BITS:
-            width += 1
-    codes.append(end)
-    widths.append(width)
-    return _pack(np.array(codes), np.array(widths))
+        emit(held)
+    emit(end)
+    return _pack(np.array(codes, dtype=np.uint16), _widths_of(starts, len(codes), bits))
+
+
+def _widths(n: int, bits: int) -> np.ndarray:
+    """Of each of ``n`` codes after a clear code: its bits, as all but the first before it made an entry."""
+    entries = np.minimum(np.maximum(np.arange(n) - 1, 0) + (1 << bits) + 2, MAX_CODES)
+    return np.minimum(np.ceil(np.log2(entries + 1)).astype(np.int64), MAX_BITS)
+
+
+def _widths_of(starts: list[int], n: int, bits: int) -> np.ndarray:
+    """The bits of ``n`` codes, the first a clear code, whose stretches after clear codes begin at ``starts``."""
+    return np.concatenate([[bits + 1], *(_widths(b - a, bits) for a, b in zip(starts, [*starts[1:], n], strict=True))])
 
 
 def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
     """Codes of given widths, least bits first."""
-    grid = codes[:, None] >> np.arange(MAX_BITS) & 1
-    return np.packbits(grid[np.arange(MAX_BITS) < widths[:, None]].astype(np.uint8), bitorder="little").tobytes()
+    grid = np.unpackbits(codes.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(grid[np.arange(16) < widths[:, None]], bitorder="little").tobytes()
 
 
 def lzw_plain(samples: bytes) -> bytes:
@@ -97,13 +103,8 @@ def lzw_plain(samples: bytes) -> bytes:
 
 
 def lzw_decode(stream: bytes, bits: int, size: int) -> bytes:
-    """The first ``size`` samples of a code stream. Raises GifError if the stream breaks off or has an unknown code.
-
-    A stretch between clear codes that is too short for a tenth bit, and whose codes are all samples, is copied as
-    it stands; any other goes through the table.
-    """
-    plain = _decode_plain(stream, size) if bits == 8 else None
-    return plain if plain is not None else _decode_table(stream, bits, size)
+    """The first ``size`` samples of a code stream. Raises GifError if the stream breaks off or has an unknown code."""
+    return _decode_table(stream, bits, size)
 
 
 def _decode_plain(stream: bytes, size: int) -> bytes | None:
@@ -124,38 +125,51 @@ def _decode_plain(stream: bytes, size: int) -> bytes | None:
 
 
 def _decode_table(stream: bytes, bits: int, size: int) -> bytes:
+    """Through the table. The codes up to the next clear code have known widths, so they are cut out at once."""
     clear, end = 1 << bits, (1 << bits) + 1
-    fresh = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, last = list(fresh), bits + 1, None
-    out, made, at, held, have = [], 0, 0, 0, 0
+    first = [bytes([i]) for i in range(clear)] + [b"", b""]
+    raw = np.frombuffer(stream + b"\0\0\0", dtype=np.uint8).astype(np.uint32)
+    out, made, at = [], 0, 0
+    table, last = list(first), None
+    widths, index = _widths(MAX_CODES, bits), 0
     while made < size:
-        while have < width:
-            if at == len(stream):
-                raise GifError("the code stream breaks off")
-            held |= stream[at] << have
-            have += 8
-            at += 1
-        code = held & (1 << width) - 1
-        held >>= width
-        have -= width
-        if code == clear:
-            table, width, last = list(fresh), bits + 1, None
-            continue
-        if code == end:
+        if index < MAX_CODES:
+            ahead = widths[index:]
+        else:  # a full table that no clear code has followed yet
+            ahead = np.full(MAX_CODES, MAX_BITS)
+        ends = at + np.cumsum(ahead)
+        n = int(np.searchsorted(ends, 8 * len(stream), side="right"))
+        if not n:
+            raise GifError("the code stream breaks off")
+        begins, ahead = ends[:n] - ahead[:n], ahead[:n]
+        place = begins >> 3
+        word = raw[place] | raw[place + 1] << 8 | raw[place + 2] << 16
+        codes = word >> (begins & 7).astype(np.uint32) & ((1 << ahead) - 1).astype(np.uint32)
+        special = np.flatnonzero((codes == clear) | (codes == end))
+        stop = int(special[0]) if len(special) else n
+        for code in codes[:stop].tolist():
+            if code < len(table):
+                run = table[code]
+            elif code == len(table) and last is not None:
+                run = last + last[:1]
+            else:
+                raise GifError(f"unknown code {code}")
+            if last is not None and len(table) < MAX_CODES:
+                table.append(last + run[:1])
+            last = run
+            out.append(run)
+            made += len(run)
+            if made >= size:
+                break
+        if made >= size:
+            break
+        if stop == n:
+            at, index = int(ends[n - 1]), index + n
+        elif codes[stop] == end:
             raise GifError(f"the code stream ends after {made} of {size} samples")
-        if code < len(table):
-            run = table[code]
-        elif code == len(table) and last is not None:
-            run = last + last[:1]
         else:
-            raise GifError(f"unknown code {code}")
-        if last is not None and len(table) < MAX_CODES:
-            table.append(last + run[:1])
-            if len(table) == 1 << width and width < MAX_BITS:
-                width += 1
-        last = run
-        out.append(run)
-        made += len(run)
+            at, index, last = int(ends[stop]), 0, None
+            del table[clear + 2 :]
     return b"".join(out)[:size]
 
 
@@ -351,7 +365,7 @@ def gif_digest(documents: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 raw, n = payload_of(text)
-                media = encode(raw)
+                media = encode(raw, compress=True)
                 back, feature = read_payload(media)
                 rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=names)

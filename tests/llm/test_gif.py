@@ -111,3 +111,11 @@ def test_query(docs_of):
     assert [out[2][c] for c in ("media_sha256", "feature")] == [out[3][c] for c in ("media_sha256", "feature")]
     assert [r["doc_id"] for r in G.gif_digest(docs_of([(None, "x", None, None, None)])).collect()] == [None]
     assert G.gif_digest(docs_of([])).count() == 0
+
+
+def test_query_compresses(docs_of):
+    text = "a phrase that comes again, " * 400
+    (row,) = G.gif_digest(docs_of([text])).collect()
+    media = G.encode(G.payload_of(text)[0], compress=True)
+    assert (row["media_bytes"], row["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+    assert row["media_bytes"] < len(text) // 2 and row["payload_sha256"] == hashlib.sha256(G.payload_of(text)[0]).hexdigest()
