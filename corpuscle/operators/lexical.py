@@ -19,9 +19,13 @@ def tokens_long(docs: DataFrame, text: str = "text", key: str = "doc_id", ngram_
     return rows.select("doc_id", F.posexplode("terms").alias("pos", "term"))
 
 
-def lemmas(tokens: DataFrame) -> DataFrame:
-    """``tokens`` with terms replaced by the first base form, by suffix rules, that the corpus itself holds."""
+def lemmas(tokens: DataFrame, known_terms: DataFrame | None = None) -> DataFrame:
+    """``tokens`` with terms replaced by the first base form, by suffix rules, that the corpus itself holds.
+
+    ``known_terms``: the corpus' distinct terms, where ``tokens`` are of queries.
+    """
     vocabulary = tokens.select("term").distinct()
+    bases = vocabulary if known_terms is None else known_terms.select("term")
     forms = F.array(
         *[
             F.when(F.col("term").endswith(suffix) & (F.length("term") > len(suffix) + 2), F.concat(F.expr(f"substring(term, 1, length(term) - {len(suffix)})"), F.lit(base)))
@@ -29,7 +33,7 @@ def lemmas(tokens: DataFrame) -> DataFrame:
         ]
     )
     tried = vocabulary.select("term", F.posexplode(forms).alias("rule", "base")).where("base is not null")
-    known = tried.join(vocabulary.withColumnRenamed("term", "base"), "base", "left_semi")
+    known = tried.join(bases.withColumnRenamed("term", "base"), "base", "left_semi")
     chosen = known.groupBy("term").agg(F.min_by("base", "rule").alias("lemma"))
     return tokens.join(chosen, "term", "left").withColumn("term", F.coalesce("lemma", "term")).drop("lemma")
 
@@ -66,7 +70,10 @@ def tf_column(sublinear: bool) -> Column:
 
 @dataclass
 class LexicalIndex:
-    """A fitted TF-IDF: corpus ``(doc_id, text)``, terms ``(term, df, idf)``, weights ``(doc_id, term, w)``, norms ``(doc_id, norm)``."""
+    """A fitted TF-IDF: corpus ``(doc_id, text)``, terms ``(term, df, idf)``, weights ``(doc_id, term, w)``, norms ``(doc_id, norm)``.
+
+    With ``lemmatise``, ``vocabulary`` has the corpus' terms before that, by which query words are lemmatised.
+    """
 
     corpus: DataFrame
     terms: DataFrame
@@ -75,30 +82,37 @@ class LexicalIndex:
     sublinear: bool = True
     ngram_range: tuple[int, int] = (1, 1)
     lemmatise: bool = False
+    vocabulary: DataFrame | None = None
+
+
+def lemma_tokens(rows: DataFrame, text: str, key: str, ngram_range: tuple[int, int], known_terms: DataFrame | None = None) -> DataFrame:
+    """``tokens_long`` over lemmas: n-grams are made of these."""
+    tokens = lemmas(tokens_long(rows, text, key), known_terms)
+    if ngram_range == (1, 1):
+        return tokens
+    again = tokens.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms"))
+    return again.select("doc_id", F.posexplode(X.ngrams(F.col("terms"), *ngram_range)).alias("pos", "term"))
 
 
 def fit(
     corpus: DataFrame, sublinear: bool = True, ngram_range: tuple[int, int] = (1, 1), max_features: int | None = None, lemmatise: bool = False, n_docs: int | None = None
 ) -> LexicalIndex:
     """Declares the index over ``(doc_id, text)``; nothing but the corpus is counted yet."""
-    tokens = tokens_long(corpus, ngram_range=ngram_range if not lemmatise else (1, 1))
-    if lemmatise:
-        tokens = lemmas(tokens)
-        if ngram_range != (1, 1):
-            again = tokens.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms"))
-            tokens = again.select("doc_id", F.posexplode(X.ngrams(F.col("terms"), *ngram_range)).alias("pos", "term"))
+    tokens = lemma_tokens(corpus, "text", "doc_id", ngram_range) if lemmatise else tokens_long(corpus, ngram_range=ngram_range)
+    known = tokens_long(corpus).select("term").distinct() if lemmatise else None
     if max_features is not None:
         tokens = tokens.join(top_terms(tokens, max_features).select("term"), "term", "left_semi")
     counts = doc_term_counts(tokens)
     terms = idf_table(counts, corpus.count() if n_docs is None else n_docs)
     weights = counts.join(terms, "term").select("doc_id", "term", (tf_column(sublinear) * F.col("idf")).alias("w"))
     norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return LexicalIndex(corpus, terms, weights, norms, sublinear, ngram_range, lemmatise)
+    return LexicalIndex(corpus, terms, weights, norms, sublinear, ngram_range, lemmatise, known)
 
 
 def query_weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """``(query_id, term, qw)`` of ``(query_id, query)``; unknown terms vanish, nothing is fitted anew."""
-    counts = doc_term_counts(tokens_long(queries, "query", "query_id", index.ngram_range)).withColumnRenamed("doc_id", "query_id")
+    of = (queries, "query", "query_id", index.ngram_range)
+    counts = doc_term_counts(lemma_tokens(*of, index.vocabulary) if index.lemmatise else tokens_long(*of)).withColumnRenamed("doc_id", "query_id")
     return counts.join(index.terms, "term").select("query_id", "term", (tf_column(index.sublinear) * F.col("idf")).alias("qw"))
 
 

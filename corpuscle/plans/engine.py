@@ -50,7 +50,8 @@ class SearchEngine:
         fitted = lexical.fit(self.corpus, o.sublinear, o.ngram_range, o.max_features, o.lemmatise, self.n_docs)
         weights = self._kept("weights", lambda: fitted.weights, "term")
         norms = self._kept("norms", lambda: weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
-        self.index = lexical.LexicalIndex(self.corpus, self._kept("terms", lambda: fitted.terms), weights, norms, o.sublinear, o.ngram_range, o.lemmatise)
+        known = self._kept("vocabulary", lambda: fitted.vocabulary) if o.lemmatise else None
+        self.index = lexical.LexicalIndex(self.corpus, self._kept("terms", lambda: fitted.terms), weights, norms, o.sublinear, o.ngram_range, o.lemmatise, known)
         tokens = lexical.tokens_long(self.corpus)
 
         def trained() -> DataFrame:

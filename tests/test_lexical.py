@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.operators import lexical
+from corpuscle.plans.engine import Options, SearchEngine
 from corpuscle.sources.readers import corpus_of
 
 MICRO = ["graph neural network graph", "neural translation speech", "speech translation network network"]
@@ -62,3 +63,16 @@ def test_empty(spark):
     nothing = lexical.fit(corpus_of(spark, [None, "", "the of"]))
     assert nothing.terms.count() == 0
     assert found(spark, nothing, "word", 2) == [(0, 0.0), (1, 0.0)]
+
+
+def test_search_with_inflected_words(spark, tmp_path):
+    texts = ["networks network", "speech translation", "trained train networks"]
+    for grams in ((1, 1), (1, 2)):
+        both = lexical.fit(corpus_of(spark, texts), lemmatise=True, ngram_range=grams)
+        assert found(spark, both, "networks", 3) == found(spark, both, "network", 3)
+        assert found(spark, both, "networks", 1)[0][1] > 0
+        assert found(spark, both, "trained networks", 1) == [(2, found(spark, both, "train network", 1)[0][1])]
+    unseen = lexical.fit(corpus_of(spark, ["network", "speech"]), lemmatise=True)
+    assert found(spark, unseen, "networks", 1) == [(0, 1.0)]
+    engine = SearchEngine(corpus_of(spark, texts), str(tmp_path), Options(lemmatise=True), word_vectors=spark.createDataFrame([("network", [1.0])], "word string, vector array<float>"))
+    assert found(spark, engine.index, "networks", 1) == found(spark, engine.index, "network", 1)
