@@ -392,15 +392,15 @@ def lemma_frequency(spark, sf_dir):
 def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = corpus(spark, sf_dir)
     toks = lexical.tokens_long(docs)
-    return docs, toks, embed.word_vectors(embed.train_word2vec(toks, vector_size=32, epochs=1))
+    return docs, toks, embed.word_vectors(embed.train_word2vec(toks))
 
 
 @query()
 def word2vec_search(spark, sf_dir):
     docs, toks, vectors = _trained(spark, sf_dir)
-    q = benchmark(spark, sf_dir).where("query_id < 10").select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
-    means = dense.mean_vectors(lexical.tokens_long(q), vectors, q, 32).withColumnRenamed("doc_id", "query_id")
-    return dense.cosine_topk(dense.mean_vectors(toks, vectors, docs, 32), means, 5)
+    q = benchmark(spark, sf_dir).select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
+    means = dense.mean_vectors(lexical.tokens_long(q), vectors, q, 100).withColumnRenamed("doc_id", "query_id")
+    return dense.cosine_topk(dense.mean_vectors(toks, vectors, docs, 100), means, 5)
 
 
 @query()
