@@ -184,8 +184,7 @@ GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 def encode(samples: bytes, width: int = WIDTH, rows: int = FRAME_ROWS, delay_ms: int = DELAY_MS, compress: bool = False) -> bytes:
     """Samples, a positive multiple of ``width``, as a GIF of grey frames of ``rows`` rows at most.
 
-    ``compress`` builds LZW tables; without it the code stream holds plain samples, which numpy writes and
-    reads some ten times faster.
+    ``compress`` builds LZW tables; without it the code stream holds plain samples, which numpy writes.
     """
     if not samples or len(samples) % width:
         raise ValueError(f"{len(samples)} samples do not fill rows of {width}")
