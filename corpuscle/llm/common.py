@@ -36,10 +36,16 @@ def row_key(df: DataFrame) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary one; on a cluster, whose machines share no such folder,
+    ValueError is raised.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="corpuscle-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -61,6 +67,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key counts as hot beyond this share of all rows, so there are fewer hot keys than HOT_KEYS.
+HOT_KEYS, LIGHT = 100_000, 1_000
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, on: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row per ``on`` and ``n``, the number of rows with it.
+
+    ``total``: the number of rows, or more. Keys with over max(LIGHT, total / HOT_KEYS) rows are fewer than HOT_KEYS:
+    theirs are broadcast. The rest is joined by shuffle, where no key brings more rows than that. ``rows`` is read
+    twice, so it should be a table.
+    """
+    most = max(LIGHT, total // HOT_KEYS)
+    hot, cold = facts.where(F.col("n") > most).drop("n"), facts.where(F.col("n") <= most).drop("n")
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

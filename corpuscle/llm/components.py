@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hot_join, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step. Edges are ``(u, v)`` with ``u > v``.
+def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
+    """One step. Edges are ``(u, v)`` with ``u > v``, ``n_edges`` at most.
 
     large: each node's larger neighbours are linked to the least of it and its neighbours.
     small: each node and its smaller neighbours are linked to the least of them.
     """
     around = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    moved = around.join(least, "u").select(F.col("v").alias("u"), "m", F.col("u").alias("centre"))
+    least = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    moved = hot_join(around, least, "u", 2 * n_edges).select(F.col("v").alias("u"), "m", F.col("u").alias("centre"))
     if large:
         out = moved.where("u > centre").select("u", F.col("m").alias("v"))
     else:
@@ -27,8 +27,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``(node, root)`` of every node of the edges ``(a, b)``; ``root`` is the least node of its component.
 
-    Each round is written to the shared folder, so lineage stays short and lost executors cost one round.
-    Loops and repeated edges may occur; an empty table gives an empty result.
+    Each step is written to the shared folder, so lineage stays short and lost executors cost one step. The
+    neighbours of a hub do not meet in one task (``hot_join``). Loops and repeated edges may occur; an empty
+    table gives an empty result.
     """
     now = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -41,5 +42,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("root"))
             ).distinct()
         before = state
-        now = written(_star(_star(now, large=True), large=False), "edges")
+        spread = written(_star(now, True, state[0]), "edges")
+        now = written(_star(spread, False, state[0]), "edges")
     raise RuntimeError(f"components not settled after {max_rounds} rounds")

@@ -22,28 +22,39 @@ from pyspark.sql import types as T
 
 from corpuscle.session import ship
 
-from .common import col, fresh, written
+from .common import col, fresh, hot_join, written
 from .components import connected_components
 
 BLOCKS, BLOCK_BITS, HAMMING_BITS, FREE_BITS = 3, 21, 15, 6
 RADIUS = 1
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The 64-bit SimHash of a text's word shingles (XXH64, seed 42); 0 without words."""
-    if text is None:
-        return 0
-    found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII blanks only
+def words_of(text: str | None) -> list[bytes]:
+    """A-Z in lower case, parted at the six ASCII blanks (bytes know no others)."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of ``words`` words, repeats included; of all words where there are fewer."""
     if not found:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(found)
     lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
     starts = np.cumsum(lengths + 1) - lengths - 1
     n = max(1, len(found) - words + 1)
     ends = (starts + lengths)[len(found) - n :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)], dtype=">u8")
-    return int.from_bytes(np.packbits(_ones(hashes) * 2 > n).tobytes(), "big")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 of none."""
+    return int.from_bytes(np.packbits(_ones(hashes.astype(">u8")) * 2 > len(hashes)).tobytes(), "big") if len(hashes) else 0
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """The 64-bit SimHash of a text's word shingles; 0 without words."""
+    return majority(shingle_hashes(words_of(text), words))
 
 
 def _ones(hashes: np.ndarray, step: int = 1 << 16) -> np.ndarray:
@@ -100,14 +111,24 @@ def anchors(fingerprints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.nd
     return np.concatenate(at), np.concatenate(of)
 
 
-def forest(points: np.ndarray, threshold: int, dense: int = 512, step: int = 64) -> list[tuple[int, int]]:
+def forest(points: np.ndarray, threshold: int, dense: int = 512, step: int = 64, crowd: int = 4096, block: int | None = None) -> list[tuple[int, int]]:
     """Edges (least of component, other) of the components of one anchor's distinct uint64 fingerprints.
 
     Few points: all their distances at once. Many: breadth-first search that compares the frontier, in steps,
-    with the points not yet reached, so a dense cluster costs little more than its size.
+    with the points not yet reached, so a dense cluster costs little more than its size. More than ``crowd``: the
+    bits outside the anchor's ``block`` are cut into one part more than there may be differences, so linked points
+    agree in some part; points are searched among those that agree with them.
     """
     if len(points) < 2:
         return []
+    if len(points) > crowd:
+        edges = []
+        for shift, mask in parts_of_bits(threshold + 1, block):
+            part = points >> np.uint64(shift) & np.uint64(mask)
+            order = np.argsort(part, kind="stable")
+            for group in np.split(points[order], np.flatnonzero(np.diff(part[order])) + 1):
+                edges += forest(group, threshold, dense, step, crowd=len(points))
+        return _spanning(edges)
     if len(points) <= dense:
         near = np.bitwise_count(points[:, None] ^ points[None, :]) <= threshold
         if near.sum() == len(points):
@@ -133,6 +154,32 @@ def forest(points: np.ndarray, threshold: int, dense: int = 512, step: int = 64)
     return edges
 
 
+def parts_of_bits(n: int, block: int | None) -> list[tuple[int, int]]:
+    """``(shift, mask)`` of ``n`` parts of the 64 bits; a part that spans ``block`` (its bits differ little) is cut there."""
+    low, high = (0, 0) if block is None else (block * BLOCK_BITS, (block + 1) * BLOCK_BITS)
+    free = [i for i in range(64) if not low <= i < high]
+    out = []
+    for k in range(n):
+        mine = free[k * len(free) // n : (k + 1) * len(free) // n]
+        out.append((mine[0], sum(1 << (i - mine[0]) for i in mine)))
+    return out
+
+
+def _spanning(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``(least, other)`` of the edges' components, each node once."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        above[max(x, y)] = min(x, y)
+    return [(r, x) for x in above if (r := root(x)) != x]
+
+
 def links(fingerprints: DataFrame, threshold: int = 4, partitions: int | None = None) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all pairs within ``threshold`` bits.
 
@@ -155,8 +202,9 @@ def links(fingerprints: DataFrame, threshold: int = 4, partitions: int | None =
         """Rows come sorted by anchor; one anchor's points may stretch over batches."""
         at, open_points = None, []
 
-        def edges_of(groups: list[np.ndarray]) -> pd.DataFrame:
-            found = np.array([e for g in groups for e in forest(g, threshold)], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        def edges_of(groups: list[np.ndarray], places: list[int]) -> pd.DataFrame:
+            found = [e for g, p in zip(groups, places, strict=True) for e in forest(g, threshold, block=p >> BLOCK_BITS)]
+            found = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
         for batch in batches:
@@ -165,18 +213,19 @@ def links(fingerprints: DataFrame, threshold: int = 4, partitions: int | None =
             anchor, points = batch["anchor"].to_numpy(), batch["fp"].to_numpy(dtype=np.int64).view(np.uint64)
             borders = np.flatnonzero(np.diff(anchor)) + 1
             parts = np.split(points, borders)
-            if at == anchor[0]:
+            places = anchor[np.concatenate([[0], borders])].tolist()
+            if at == places[0]:
                 open_points.append(parts[0])
             else:
                 if open_points:
-                    yield edges_of([np.concatenate(open_points)])
+                    yield edges_of([np.concatenate(open_points)], [at])
                 open_points = [parts[0]]
             if len(parts) > 1:
-                yield edges_of([np.concatenate(open_points), *parts[1:-1]])
+                yield edges_of([np.concatenate(open_points), *parts[1:-1]], places[:-1])
                 open_points = [parts[-1]]
-            at = anchor[-1]
+            at = places[-1]
         if open_points:
-            yield edges_of([np.concatenate(open_points)])
+            yield edges_of([np.concatenate(open_points)], [at])
 
     spread_out = fingerprints.select("fp").mapInPandas(spread, "anchor long, fp long")
     by_anchor = spread_out.repartition(partitions, "anchor") if partitions else spread_out.repartition("anchor")
@@ -199,43 +248,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     docs = docs.drop("fingerprint", "component_id")
     kept = docs.columns
     (fp,) = fresh(docs, "fp")
-    marked = docs.withColumn(fp, fingerprint_column(col(text)))
+    marked = written(docs.withColumn(fp, fingerprint_column(col(text))), "marked")
     classes = classes_of(marked.select(col(key).alias("id"), col(fp).alias("fp")), threshold)
-    return marked.join(classes.withColumnRenamed("fp", fp), fp).select(
+    return hot_join(marked, classes.withColumnRenamed("fp", fp), fp, marked.count()).select(
         *[col(c) for c in kept], _hex(fp).alias("fingerprint"), "component_id"
     )
 
 
 def classes_of(prints: DataFrame, threshold: int = 4) -> DataFrame:
-    """``(fp, component, component_id)`` of each distinct fingerprint of ``(id, fp)`` rows.
+    """``(fp, component, component_id, n)`` of each distinct fingerprint of ``(id, fp)`` rows.
 
-    ``component`` is the component's least fingerprint, ``component_id`` its smallest id.
+    ``component`` is the component's least fingerprint, ``component_id`` its smallest id, ``n`` the rows of ``fp``.
     """
-    smallest = written(prints.groupBy("fp").agg(F.min("id").alias("id")), "simhash")
+    smallest = written(prints.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "simhash")
     found = connected_components(links(smallest, threshold))
     component = F.coalesce("root", "fp").alias("component")
-    labelled = smallest.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", component)
-    least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
-    return labelled.join(least, "component").select("fp", "component", "component_id")
-
-
-def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 4) -> DataFrame:
-    """One document of each group of near duplicates, with its columns as they are: that with the smallest ``key``.
-
-    Null keys come last; of rows of equal key and text in a group, one stays.
-    """
-    (row,) = fresh(docs, "row")
-    row_of = F.xxhash64(col(key), col(text))
-    fp = fingerprint_column(col(text))
-    narrow = written(docs.select(col(key).alias("id"), row_of.alias("row"), fp.alias("fp")), "fingerprints")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    by_print = narrow.groupBy("fp").agg(first)  # in part before the shuffle, as copies share a fingerprint
-    best = by_print.join(classes_of(narrow, threshold).select("fp", "component"), "fp").groupBy("component").agg(F.min("first").alias("first"))
-    return docs.withColumn(row, row_of).join(best.select(F.col("first.row").alias(row)), row, "left_semi").dropDuplicates([row]).drop(row)
+    labelled = written(smallest.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", component, F.col("n").alias("rows")), "labelled")
+    least = labelled.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return hot_join(labelled, least, "component", labelled.count()).select("fp", "component", "component_id", F.col("rows").alias("n"))
 
 
 def simhash_report(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of all documents."""
     narrow = written(documents.select("doc_id", fingerprint_column(F.col("text")).alias("fp")), "fingerprints")
-    classes = classes_of(narrow.withColumnRenamed("doc_id", "id"))
-    return narrow.join(classes, "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
+    classes = written(classes_of(narrow.withColumnRenamed("doc_id", "id")), "classes")
+    return hot_join(narrow, classes, "fp", narrow.count()).select("doc_id", _hex("fp").alias("fingerprint"), "component_id")

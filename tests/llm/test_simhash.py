@@ -6,7 +6,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpuscle.llm import components, simhash
+from corpuscle.llm import common, components, simhash
 
 
 def plain_fingerprint(text):
@@ -41,12 +41,12 @@ def test_code_covers():
             assert of(x, near) <= of(x, patterns) and of(x, near) & of(x ^ 1 << bit, patterns)
 
 
-@pytest.mark.parametrize("dense", [512, 2])
-def test_forest(dense):
+@pytest.mark.parametrize("dense, crowd, block", [(512, 4096, None), (2, 4096, 0), (512, 8, None), (2, 8, 1)])
+def test_forest(dense, crowd, block):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
     points = np.unique(np.array([b ^ np.uint64(1) << np.uint64(i) ^ np.uint64(1) << np.uint64(j) for b in base for i in range(12) for j in range(12)], dtype=np.uint64))
-    edges = simhash.forest(points, 4, dense=dense, step=3)
+    edges = simhash.forest(points, 4, dense=dense, step=3, crowd=crowd, block=block)
     assert components_of(points.tolist(), edges) == components_of(points.tolist(), all_links(points.tolist(), 4))
     assert len(edges) < len(points)
 
@@ -114,13 +114,29 @@ def test_query_against_all_pairs(docs_of, rows_equal):
     rows_equal(out, ["doc_id", "fingerprint", "component_id"], [(i, f"{p:016x}", least[root[p]]) for i, p in enumerate(prints)])
 
 
-def test_keep_first(docs_of):
+def test_classes_of_rows(docs_of):
     texts = corpus()
     docs = docs_of(texts, clash=True)
-    kept = sorted(r["doc_id"] for r in simhash.keep_first(docs).collect())
-    classes = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-    assert kept == sorted(classes)
-    assert simhash.keep_first(docs).columns == docs.columns
+    out = simhash.near_duplicates(docs)
+    want = {r["doc_id"]: r["component_id"] for r in simhash.simhash_report(docs).collect()}
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == want
+    assert out.columns == [*docs.columns, "fingerprint", "component_id"]
     twice = docs_of([(1, "same text here again", "en", "a", 1)] * 4 + [(None, "same text here again", "en", "a", 1)])
-    assert [r["doc_id"] for r in simhash.keep_first(twice).collect()] == [1]
-    assert simhash.keep_first(docs_of([])).count() == simhash.simhash_report(docs_of([])).count() == 0
+    assert [r["component_id"] for r in simhash.near_duplicates(twice).collect()] == [1] * 5
+    assert simhash.near_duplicates(docs_of([])).count() == simhash.simhash_report(docs_of([])).count() == 0
+
+
+def test_parts_of_bits():
+    for block in (None, 0, 1, 2):
+        parts = simhash.parts_of_bits(5, block)
+        covered = [shift + i for shift, mask in parts for i in range(64) if mask >> i & 1]
+        inside = range(0) if block is None else range(21 * block, 21 * block + 21)
+        assert sorted(covered) == [i for i in range(64) if i not in inside]
+
+
+def test_hub(spark, monkeypatch):
+    """Keys beyond the limit are broadcast, the others shuffled; both ways give the same components."""
+    monkeypatch.setattr(common, "LIGHT", 5)
+    star = [(0, i) for i in range(1, 80)] + [(200, i) for i in range(201, 204)] + [(79, 300), (300, 301)]
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(80)}, **{i: 200 for i in range(200, 204)}, 300: 0, 301: 0}
