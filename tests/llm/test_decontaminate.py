@@ -1,6 +1,10 @@
+import itertools
+import math
 import random
 import re
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.llm import decontaminate as D
@@ -11,23 +15,34 @@ def words(rng, n):
 
 
 def brute(docs, items, window=16, share=0.8):
-    """All alignments of all pairs, without seeds."""
+    """All alignments of all pairs, without seeds; words beyond the document's ends are not equal."""
     token = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     found = set()
     for d, text in docs:
         a = token(text)
         for i, item in items:
             b = token(item)
-            if min(len(a), len(b)) < D.SPAN:
+            if not b:
                 continue
-            w = min(window, len(a), len(b))
+            w = min(window, len(b))
             for shift in range(-len(b) + 1, len(a)):
-                same = [a[k + shift] == b[k] for k in range(len(b)) if 0 <= k + shift < len(a)]
+                same = [0 <= k + shift < len(a) and a[k + shift] == b[k] for k in range(len(b))]
                 if any(sum(same[s : s + w]) >= share * w for s in range(len(same) - w + 1)):
                     found.add((d, i))
     return found
 
 
+def test_masks_are_lossless():
+    """Every placement of the substitutions that the threshold allows leaves a seed of the group unhurt."""
+    for width in range(1, D.WINDOW + 1):
+        masks = D.MASKS[max(g for g in D.MASKS if g <= width)]
+        gone = width - math.ceil(width * D.SIMILARITY)
+        for hurt in itertools.combinations(range(width), gone):
+            assert any(
+                all(mask[k] == "0" or s + k not in hurt for k in range(len(mask))) for mask in masks for s in range(width - len(mask) + 1)
+            ), (width, hurt)
+
+
 def make():
     rng = random.Random(4)
     items = [(i, " ".join(words(rng, n))) for i, n in enumerate([12, 20, 30, 45, 9, 16])]
@@ -54,15 +69,38 @@ def test_against_all_alignments(spark, docs_of):
     frame = docs_of([(d, t, "en", "s", 1) for d, t in docs], clash=True)
     bench = spark.createDataFrame(items, "item_id long, text string")
     for rows in (500_000, 0):  # broadcast, and by shuffle
-        out = D.contaminated(frame, bench, broadcast_rows=rows).collect()
+        out = D.overlaps(frame, bench, broadcast_rows=rows).collect()
         assert {(r["doc_id"], r["item_id"]) for r in out} == want
+        assert len(out) == len(want)
     assert {r["n_items"] for r in out if r["item_id"] == 1} == {2}
     exact = next(r for r in out if r["doc_id"] == 2)
     assert (exact["doc_start"], exact["item_start"], exact["n_same"], exact["n_words"]) == (20, 0, 16, 16)
+    one = {r["doc_id"]: r for r in D.contaminated(frame, bench).collect()}
+    assert {d: r["n_items"] for d, r in one.items()} == Counter(d for d, _ in brute(docs[:45], items)) | Counter({45: 2})
+    assert all((d, r["item_id"]) in want for d, r in one.items())
     kept = {r["doc_id"] for r in D.decontaminate(frame, bench).collect()}
     assert kept == set(range(46)) - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("together", [4096, 2])
+def test_random_substitutions(spark, docs_of, monkeypatch, together):
+    """Items of 1 to 18 words, planted with as many substitutions at random places as are allowed, and with one more."""
+    monkeypatch.setattr(D, "TOGETHER", together)
+    rng = random.Random(9)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 19)]
+    docs = []
+    for n, item in items:
+        width = min(n, 16)
+        for extra in (0, 0, 0, 1):
+            gone = set(rng.sample(range(width), min(width, width - math.ceil(0.8 * width) + extra)))
+            passage = [f"s{rng.randrange(99)}" if k in gone or k >= width else w for k, w in enumerate(item.split())]
+            docs.append((len(docs), " ".join(words(rng, rng.randrange(3)) + passage + words(rng, rng.randrange(20)))))
+    want = brute(docs, items)
+    assert len(want) >= 54
+    out = D.overlaps(docs_of([(d, t, "en", "s", 1) for d, t in docs]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == want
+
+
 def test_substitutions_are_tolerated(spark, docs_of):
     rng = random.Random(1)
     item = words(rng, 40)
