@@ -22,13 +22,17 @@ from pyspark.sql import functions as F
 
 from corpuscle.session import ship
 
-from .common import col, shared_dir
+from .common import HOT_KEYS, LIGHT, col, shared_dir, written
 
 #: Fixed values of the formats: the dictionary's skippable frame, a Zstandard frame, a dictionary.
 DICTIONARY_FRAME, ZSTD_FRAME, ZSTD_DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+#: Bytes of an archive that are decoded at once.
+STEP = 1 << 14
+#: Digests that several pages share are broadcast up to so many; beyond, only the hot ones are.
+BROADCAST_ROWS = 500_000
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
@@ -164,29 +168,40 @@ def read_archive(data: bytes) -> Iterator[tuple]:
     view = memoryview(data)
     unpacker = zstandard.ZstdDecompressor(dict_data=loaded) if loaded else zstandard.ZstdDecompressor()
     while at < len(data):
-        frame = unpacker.decompressobj()
+        frame, begin, out = unpacker.decompressobj(), at, []
         try:
-            out = frame.decompress(view[at:])
+            while not frame.eof and at < len(data):  # in steps: what a step holds beyond the frame is copied
+                out.append(frame.decompress(view[at : at + STEP]))
+                at = min(at + STEP, len(data))
         except zstandard.ZstdError as e:
-            raise WarcError(f"frame at byte {at}: {e}") from e
+            raise WarcError(f"frame at byte {begin}: {e}") from e
         if not frame.eof:
-            raise WarcError(f"the frame at byte {at} is cut off")
-        at = len(data) - len(frame.unused_data)
-        yield parse_record(out)
+            raise WarcError(f"the frame at byte {begin} is cut off")
+        at -= len(frame.unused_data)
+        yield parse_record(b"".join(out))
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
+def with_revisits(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(page_id, url, payload, refers_to, revisit)`` of pages ``(page_id, url, payload)``.
 
     Of equal payloads (SHA-1 and length), the row with the largest page_id is the response and the others
     revisit it; a null page_id is smaller than all others. Rows that share this page_id are all responses.
-    Only digests are grouped, and these in part before they are shuffled.
+    Only digests are grouped, and these in part before they are shuffled. Payloads stay where they are unless too
+    many digests are shared to be broadcast; then the pages of a hot digest still do not meet in one task.
     """
     marked = pages.select("page_id", "url", "payload", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size"))
-    first = marked.groupBy("sha", "size").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
-    shared = first.where("n > 1").select("sha", "size", "refers_to", F.lit(True).alias("shared"))
+    first = written(marked.groupBy("sha", "size").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")), "digests")
+    shared = first.where("n > 1").select("sha", "size", "refers_to", F.lit(True).alias("shared"), "n")
+    by, (n_shared, n_rows) = ["sha", "size"], shared.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if n_shared <= broadcast_rows:
+        joined = marked.join(F.broadcast(shared), by, "left")
+    else:
+        most = max(LIGHT, n_rows // HOT_KEYS)
+        hot = F.broadcast(shared.where(F.col("n") > most))  # fewer than HOT_KEYS
+        cold = marked.join(hot.select(*by), by, "left_anti").join(shared.where(F.col("n") <= most), by, "left")
+        joined = marked.join(hot, by).unionByName(cold)
     revisit = F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    return marked.join(shared, ["sha", "size"], "left").select(
+    return joined.select(
         "page_id", "url", "payload", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit")
     )
 
@@ -204,7 +219,7 @@ def write_archives(records: DataFrame, folder: str, archive_mb: float = 8, sampl
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, root = fs.FileSystem.from_uri(place)
         store.create_dir(root, recursive=True)
         number, held, size = 0, [], 0
 
@@ -227,10 +242,18 @@ def write_archives(records: DataFrame, folder: str, archive_mb: float = 8, sampl
             yield end()
 
     ship(records.sparkSession)
+    place = _qualified(records.sparkSession, folder)
     typed = records.select(F.col("page_id").cast("string"), "url", "payload", F.col("refers_to").cast("string"), "revisit")
     return typed.mapInPandas(write, "path string, records long")
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of the file system that Spark reads it from."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", whole)
+
+
 def _whole(value) -> int | None:
     return int(value) if isinstance(value, str) else None
 

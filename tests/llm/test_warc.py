@@ -1,7 +1,9 @@
 import base64
 import hashlib
 import struct
+import time
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -27,6 +29,14 @@ def test_contract(spark, rows_equal):
     rows_equal(out, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], want)
 
 
+def test_ways_of_finding_revisits(spark, monkeypatch):
+    rows = [(i, "u", f"page {i % 30}".encode()) for i in range(100)] + [(1000 + i, "hot", b"same") for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, payload binary")
+    monkeypatch.setattr(W, "LIGHT", 10)
+    few, many = ({tuple(r) for r in W.with_revisits(pages, n).collect()} for n in (500_000, 0))
+    assert few == many and len(few) == 150 and sum(r[4] for r in few) == 150 - 31
+
+
 def test_whole_records_come_back(spark, tmp_path):
     rows = [(i, f"http://x/{i}?q=%20", f"payload {i}") for i in range(50)] + [(None, None, "no id"), (7, "again", "payload 7")]
     out = W.archive_pages(spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
@@ -45,6 +55,20 @@ def records(n=300):
     return [W.record_bytes(i, f"http://x/{i}", f"<html>{i} some common words</html>".encode(), None, False) for i in range(n)]
 
 
+def test_reading_is_linear():
+    """Frames larger and smaller than a step, and many of them."""
+    given = [W.record_bytes(i, "u", bytes(range(256)) * (i % 400), None, False) for i in range(900)]
+    assert [r[5] for r in W.read_archive(W.archive_bytes(given, b""))] == [256 * (i % 400) for i in range(900)]
+    noise = np.random.default_rng(0).bytes(3 * W.STEP)
+    assert [r[6] for r in W.read_archive(W.archive_bytes([W.record_bytes(1, "u", noise, None, False)] * 3, b""))] == [noise] * 3
+    times = []
+    for n in (4_000, 32_000):
+        data, began = W.archive_bytes([W.record_bytes(1, "u", b"short", None, False)] * n, b""), time.perf_counter()
+        assert sum(1 for _ in W.read_archive(data)) == n
+        times.append(time.perf_counter() - began)
+    assert times[1] < 24 * times[0]
+
+
 @pytest.mark.parametrize("dictionary", [b"", None])
 def test_frames_and_dictionary(dictionary):
     given = records()
