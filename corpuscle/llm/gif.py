@@ -28,6 +28,8 @@ EXTENSION, IMAGE, TRAILER, GRAPHIC_CONTROL = 0x21, 0x2C, 0x3B, 0xF9
 PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
 WIDTH, FRAME_ROWS, DELAY_MS = 64, 1024, 100
 BINS = 8
+#: A larger canvas is refused: a few bytes may ask for 65,535 x 65,535 pixels. This one takes 96 MB.
+MOST_PIXELS = 1 << 25
 
 
 class GifError(ValueError):
@@ -83,49 +85,11 @@ def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
     return np.packbits(grid[np.arange(16) < widths[:, None]], bitorder="little").tobytes()
 
 
-def lzw_plain(samples: bytes) -> bytes:
-    """A code stream of 8-bit samples in which each is its own code.
+def lzw_decode(stream: bytes, bits: int, size: int) -> bytes:
+    """The first ``size`` samples of a code stream. Raises GifError if the stream breaks off or has an unknown code.
 
-    The clear code returns before the decoder's table would need a tenth bit, so all codes have nine. The
-    stream is as valid as a compressed one and an eighth longer than its samples.
+    The codes up to the next clear code have known widths, so they are cut out at once.
     """
-    run = 254
-    data = np.frombuffer(samples, dtype=np.uint8).astype(np.uint16)
-    full, rest = divmod(len(data), run)
-    heads = np.full((full, 1), 256, dtype=np.uint16)
-    codes = [np.hstack([heads, data[: full * run].reshape(full, run)]).ravel()]
-    if rest:
-        codes.append(np.concatenate([np.array([256], dtype=np.uint16), data[full * run :]]))
-    codes.append(np.array([257] if len(data) else [256, 257], dtype=np.uint16))
-    flat = np.concatenate(codes)
-    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :9]
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
-
-
-def lzw_decode(stream: bytes, bits: int, size: int) -> bytes:
-    """The first ``size`` samples of a code stream. Raises GifError if the stream breaks off or has an unknown code."""
-    return _decode_table(stream, bits, size)
-
-
-def _decode_plain(stream: bytes, size: int) -> bytes | None:
-    """The samples if the stream has single samples only, at nine bits throughout; else None."""
-    raw = np.unpackbits(np.frombuffer(stream, dtype=np.uint8), bitorder="little")
-    n = len(raw) // 9
-    low = np.packbits(raw[: n * 9].reshape(n, 9), axis=1, bitorder="little")
-    codes = low[:, 0].astype(np.uint16) | low[:, 1].astype(np.uint16) << 8
-    ends = np.flatnonzero(codes == 257)
-    if len(ends):
-        codes = codes[: ends[0]]
-    clears = np.flatnonzero(codes == 256)
-    # the first code after a clear makes no entry, each other one does: entry 512 comes with the 255th
-    if not len(codes) or codes[0] != 256 or (codes > 256).any() or np.diff(np.append(clears, len(codes))).max() > 255:
-        return None
-    out = codes[codes < 256].astype(np.uint8).tobytes()
-    return out[:size] if len(out) >= size else None
-
-
-def _decode_table(stream: bytes, bits: int, size: int) -> bytes:
-    """Through the table. The codes up to the next clear code have known widths, so they are cut out at once."""
     clear, end = 1 << bits, (1 << bits) + 1
     first = [bytes([i]) for i in range(clear)] + [b"", b""]
     raw = np.frombuffer(stream + b"\0\0\0", dtype=np.uint8).astype(np.uint32)
@@ -181,11 +145,8 @@ def _blocks(data: bytes) -> bytes:
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
 
-def encode(samples: bytes, width: int = WIDTH, rows: int = FRAME_ROWS, delay_ms: int = DELAY_MS, compress: bool = False) -> bytes:
-    """Samples, a positive multiple of ``width``, as a GIF of grey frames of ``rows`` rows at most.
-
-    ``compress`` builds LZW tables; without it the code stream holds plain samples, which numpy writes.
-    """
+def encode(samples: bytes, width: int = WIDTH, rows: int = FRAME_ROWS, delay_ms: int = DELAY_MS) -> bytes:
+    """Samples, a positive multiple of ``width``, as a GIF of grey frames of ``rows`` rows at most."""
     if not samples or len(samples) % width:
         raise ValueError(f"{len(samples)} samples do not fill rows of {width}")
     high = min(rows, len(samples) // width)
@@ -194,7 +155,7 @@ def encode(samples: bytes, width: int = WIDTH, rows: int = FRAME_ROWS, delay_ms:
         part = samples[i : i + width * rows]
         out.append(struct.pack("<BBBBHBB", EXTENSION, GRAPHIC_CONTROL, 4, 1 << 2, delay_ms // 10, 0, 0))
         out.append(struct.pack("<BHHHHB", IMAGE, 0, 0, width, len(part) // width, 0) + b"\x08")
-        out.append(_blocks(lzw_encode(part) if compress else lzw_plain(part)))
+        out.append(_blocks(lzw_encode(part)))
     return b"".join(out) + bytes([TRAILER])
 
 
@@ -222,25 +183,28 @@ def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
         at += 1 + size
 
 
-def frames(data: bytes) -> Iterator[Frame]:
+def frames(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
     """The frames in order, each composed over what its predecessor's disposal left.
 
     Disposal 2 clears the frame's rectangle to black, 3 restores what was there before the frame, others leave
-    it. Samples equal to the transparent index keep the canvas. Raises GifError on anything malformed.
+    it. Samples equal to the transparent index keep the canvas. Raises GifError on anything malformed
+    and, before it takes memory, on a canvas of more than ``most_pixels``.
     """
     try:
-        yield from _frames(data)
+        yield from _frames(data, most_pixels)
     except (struct.error, IndexError) as e:
         raise GifError("it breaks off") from e
 
 
-def _frames(data: bytes) -> Iterator[Frame]:
+def _frames(data: bytes, most_pixels: int) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise GifError("no GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
     at, shared = 13, None
     if flags & 0x80:
         shared, at = _palette(data, at, flags)
+    if width * height > most_pixels:
+        raise GifError(f"a canvas of {width} x {height}")
     canvas = np.zeros((height, width, 3), dtype=np.uint8)
     delay, disposal, clear_index = 0, 0, None
     while True:
@@ -307,12 +271,13 @@ def histogram(rgb: np.ndarray) -> list[int]:
 DECODED = "key string, frame int, start_ms long, delay_ms int, width int, height int, disposal int, colour_histogram array<int>, rgb binary"
 
 
-def decode_frames(media: DataFrame, key: str, content: str) -> DataFrame:
+def decode_frames(media: DataFrame, key: str, content: str, most_pixels: int = MOST_PIXELS) -> DataFrame:
     """A row per frame of the GIFs in a binary column; ``key`` comes as a string, null stays null.
 
     Each has its number, start and delay, the canvas' size, disposal, the histogram of the composed canvas (eight
-    bins each of red, green and blue) and its RGB bytes. A null, empty or malformed GIF gives one row with
-    nulls from ``frame`` on.
+    bins each of red, green and blue) and its RGB bytes. A GIF that is null, empty,
+    malformed anywhere or larger than ``most_pixels`` gives one row with nulls from ``frame`` on and no others: it is
+    decoded once to see whether it is whole. Repeated rows give repeated frames; an empty table gives none.
     """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -321,12 +286,15 @@ def decode_frames(media: DataFrame, key: str, content: str) -> DataFrame:
             for k, data in zip(batch["key"], batch["content"], strict=True):
                 start = 0
                 try:
-                    for i, f in enumerate(frames(data or b"")):
-                        h, w, _ = f.canvas.shape
-                        yield pd.DataFrame([(k, i, start, f.delay_ms, w, h, f.disposal, histogram(f.canvas), f.canvas.tobytes())], columns=names)
-                        start += f.delay_ms
+                    for _ in frames(data or b"", most_pixels):
+                        pass
                 except GifError:
                     yield pd.DataFrame([(k, *[None] * 8)], columns=names)
+                    continue
+                for i, f in enumerate(frames(data, most_pixels)):
+                    h, w, _ = f.canvas.shape
+                    yield pd.DataFrame([(k, i, start, f.delay_ms, w, h, f.disposal, histogram(f.canvas), f.canvas.tobytes())], columns=names)
+                    start += f.delay_ms
 
     ship(media.sparkSession)
     return media.select(col(key).cast("string").alias("key"), col(content).alias("content")).mapInPandas(decode, DECODED)
@@ -356,7 +324,12 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def gif_digest(documents: DataFrame) -> DataFrame:
-    """Every text stored as a GIF and read back from its bytes; null and empty texts are 64 zeros."""
+    """Every text stored as a GIF and read back from its bytes; null and empty texts are 64 zeros.
+
+    Whole texts, however long, in frames of WIDTH x FRAME_ROWS samples. Rows stay as many as they are: equal texts
+    have equal values, repeated rows are repeated, a null doc_id stays null. An empty table gives an empty result;
+    other columns may have any name.
+    """
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -364,7 +337,7 @@ def gif_digest(documents: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 raw, n = payload_of(text)
-                media = encode(raw, compress=True)
+                media = encode(raw)
                 back, feature = read_payload(media)
                 rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=names)
