@@ -15,10 +15,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh, row_key, rows_of
+from .common import col, fresh, row_key, rows_of, written
 
 #: numpy's hypergeometric sampler takes no population beyond this.
 NUMPY_MOST = 10**9
+#: A logical partition with so many times the usual rows has many equal ones.
+CROWD = 8
 
 
 def communication_matrix(counts: list[int], capacities: list[int], seed: int) -> np.ndarray:
@@ -60,8 +62,9 @@ def shard(
     """All rows of ``df`` with ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in each shard).
 
     Shard sizes differ by one at most; the first ``n mod shards`` shards are the larger ones. Any values,
-    nulls included, are allowed: rows are told apart by a hash of all columns. Rows that are equal in all
-    columns are interchangeable. An empty table gives an empty result. Columns of ``df`` named ``shard``
+    nulls included, are allowed, and texts of any length: rows are told apart by a hash of all columns. Rows that are
+    equal in all columns are interchangeable; where they crowd a partition, the table is written once more with a
+    number for each row, by which these are spread. An empty table gives an empty result. Columns of ``df`` named ``shard``
     or ``slot`` are replaced; all others are kept.
     """
     if shards < 1:
@@ -76,8 +79,18 @@ def shard(
     def random(salt: int):
         return F.xxhash64(F.lit(f"{seed}/{salt}"), col(key))
 
-    keyed = df.withColumn(key, row_key(df)).withColumn(part, F.pmod(random(0), F.lit(parts)).cast("int"))
-    counted = {r[0]: r[1] for r in keyed.groupBy(part).count().collect()}  # max_parts rows at most
+    def parted(rows: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+        rows = rows.withColumn(part, F.pmod(random(0), F.lit(parts)).cast("int"))
+        return rows, {r[0]: r[1] for r in rows.groupBy(part).count().collect()}  # max_parts rows at most
+
+    keyed, counted = parted(df.withColumn(key, row_key(df)))
+    crowded = [p for p, c in counted.items() if c > CROWD * max(rows_per_part, n // parts)]  # under parts / CROWD
+    if crowded:
+        numbered = written(df.withColumn(rank, F.monotonically_increasing_id()), "shard")
+        own = row_key(numbered.drop(rank))
+        keyed = numbered.withColumn(key, own).withColumn(part, F.pmod(random(0), F.lit(parts)).cast("int"))
+        spread = F.when(col(part).isin(crowded), F.xxhash64(col(key), col(rank))).otherwise(col(key))
+        keyed, counted = parted(keyed.withColumn(key, spread).drop(rank))
     counts = [counted.get(p, 0) for p in range(parts)]
     total = sum(counts)
     capacities = [total // shards + (s < total % shards) for s in range(shards)]
@@ -105,7 +118,11 @@ def shard(
 
 
 def shard_digest(documents: DataFrame, shards: int = 8, seed: int = 1) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of all documents (null text: no bytes)."""
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of all documents (null text: no bytes).
+
+    Null doc_ids, repeated rows, texts of any length and empty tables are as in ``shard``; other columns may have any
+    name, as only doc_id and text are read.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
     return shard(narrow, shards, seed).select(

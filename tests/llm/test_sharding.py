@@ -46,6 +46,21 @@ def test_layout_does_not_matter(docs_of):
     assert {tuple(r) for r in other.collect()} != {tuple(r) for r in a.collect()}
 
 
+def test_equal_rows_are_spread(docs_of, monkeypatch):
+    """A third of all rows are one: they are dealt like others, and no partition holds them all."""
+    rows = [(7, "same", "en", "s", 4)] * 1000 + [(i, f"t{i}", "en", "s", 2) for i in range(2000)]
+    biggest = []
+    matrix = sharding.communication_matrix
+    monkeypatch.setattr(sharding, "communication_matrix", lambda counts, *a: biggest.append(max(counts)) or matrix(counts, *a))
+    out = sharding.shard(docs_of(rows), 4, rows_per_part=16).collect()
+    assert biggest[0] < 60
+    assert len(out) == 3000 and Counter(r["doc_id"] for r in out)[7] == 1000 + 1
+    for s in range(4):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(750))
+    same = Counter(r["shard"] for r in out if r["doc_id"] == 7)
+    assert max(same.values()) - min(same.values()) < 120
+
+
 def test_order_is_shuffled(docs_of):
     rows = sharding.shard(docs_of([f"t{i}" for i in range(2000)]), 2, rows_per_part=100, rows_per_block=100).orderBy("shard", "slot").collect()
     ids = np.array([r["doc_id"] for r in rows])
