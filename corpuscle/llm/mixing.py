@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import col, fresh, rows_of, written
 
 
+#: Tables with a row a source are broadcast up to so many sources; beyond, they are joined by shuffle.
+BROADCAST_SOURCES = 100_000
+
+
 def temperature_weights(tokens: list[int], alpha: float) -> list[float]:
     """Shares to the power ``alpha``, normalised; sources without tokens get 0."""
     most = max(tokens, default=0)
@@ -77,7 +81,7 @@ def mix(
     weight's share of it: whole passes, then part of one, which ends with the document that reaches the
     quota, so a source exceeds its quota by less than that document (and its equals: rows of equal key
     and text go together). ``mix_position`` in [0, 1) orders the stream so that every stretch of it holds
-    the sources at their weights. ``max_sources`` bounds what the driver holds; more raise ValueError.
+    the sources at their weights. Texts count whole; null keys and texts are values like others. ``max_sources`` bounds what the driver holds; more raise ValueError.
     An empty table gives an empty result. Columns of ``docs`` with the four names are replaced.
     """
     docs = docs.drop("mix_tokens", "mix_copy", "mix_block", "mix_position")
@@ -106,7 +110,8 @@ def mix(
         plan.append((r[0], n_blocks, a, rng.randrange(n_blocks), whole, quota - whole * r["t"], quota / r["t"]))
     kind = docs.schema[source].dataType.simpleString()
     schema = f"{src} {kind}, {blocks} bigint, {factor} bigint, {shift} bigint, {passes} int, {rest} double, {times} double"
-    per_source = F.broadcast(rows_of(spark, plan, schema))  # max_sources rows at most
+    few = F.broadcast if len(plan) <= BROADCAST_SOURCES else lambda df: df  # each table below has a row a source at most
+    per_source = few(rows_of(spark, plan, schema))
 
     def order_in_pass(number):
         """A permutation of the source's blocks, another in each pass."""
@@ -123,8 +128,8 @@ def mix(
         .where("before < rest and before + t >= rest")
         .select(col(src).alias(cut_src), col(rank).alias(cut), (F.col("rest") - F.col("before")).alias("needed"))
     )
-    # a row a source; none where the last pass takes nothing
-    inside = last.join(F.broadcast(border), col(src).eqNullSafe(col(cut_src)) & (col(rank) == col(cut)))
+    # no row where the last pass takes nothing
+    inside = last.join(few(border), col(src).eqNullSafe(col(cut_src)) & (col(rank) == col(cut)))
     in_block = Window.partitionBy(src).orderBy(hash_)
     ends = (
         inside.groupBy(src, cut, hash_)
@@ -137,7 +142,7 @@ def mix(
     in_rest = (col(rank) < col(cut)) | ((col(rank) == col(cut)) & (col(hash_) <= col(cut_hash)))
     chosen = (
         in_last_pass(docs.withColumn(hash_, hash_of).withColumn(tok, tokens_of), source)
-        .join(F.broadcast(ends), col(source).eqNullSafe(col(cut_src)), "left")
+        .join(few(ends), col(source).eqNullSafe(col(cut_src)), "left")
         .withColumn(copies, col(passes) + F.coalesce(in_rest.cast("int"), F.lit(0)))
         .where(col(copies) > 0)
         .withColumn(copy, F.explode(F.sequence(F.lit(0), col(copies) - 1)))
@@ -155,5 +160,5 @@ def mix(
 
 
 def mix_report(documents: DataFrame) -> DataFrame:
-    """The mixed stream of all documents without their texts: a row per document and copy."""
+    """The mixed stream of all documents without their texts: a row per document and copy, cases as in ``mix``."""
     return mix(documents).select("doc_id", "source", "mix_tokens", "mix_copy", "mix_block", "mix_position")
