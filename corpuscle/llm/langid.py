@@ -214,12 +214,14 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(
-    labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", path: str = VOCABULARY, most_rows: int = 20_000, rounds: int = 3, smooth: float = 0.05
+    labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", path: str = VOCABULARY, most_rows: int = 20_000, rounds: int = 3, smooth: float = 0.05, most_langs: int = 512
 ) -> Model:
     """Piece probabilities of each non-null language of the labelled rows.
 
     Learns from ``most_rows`` rows at most: all, or those whose keys have the least hashes. ``smooth`` is added to
-    each piece's expected count. No rows give a model without languages.
+    each piece's expected count. No rows give a model without languages. Null and empty texts teach nothing, whole
+    texts count, repeated rows count as often as they come. More than ``most_langs`` languages raise ValueError, as
+    a number for each piece and language is broadcast.
     """
     spark = labelled.sparkSession
     ship(spark)
@@ -233,6 +235,8 @@ def fit(
         rows.select("lang", "text").mapInPandas(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words"
     )
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())  # languages of a bounded sample
+    if len(langs) > most_langs:
+        raise ValueError(f"{len(langs)} languages, more than {most_langs}")
     logp = np.full((size, len(langs)), -np.log(size))
     for _ in range(rounds if langs else 0):
         shared = spark.sparkContext.broadcast((langs, logp, pieces, of_byte))  # vocabulary x languages
@@ -260,7 +264,8 @@ def fit(
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score. Null texts and those without a letter give ``und`` and 0.
 
-    Only the text is looked at. Columns of ``docs`` with the two names are replaced.
+    Only the text is looked at, the whole of it, however long. Of languages as likely the first by name is taken.
+    Repeated rows get equal results, an empty table an empty one. Columns of ``docs`` with the two names are replaced.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -281,7 +286,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def language_report(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of all documents; learned from those not held out."""
+    """doc_id, held_out, lang_pred and score of all documents; learned from those not held out.
+
+    A null doc_id is not held out. Other cases are as in ``identify``.
+    """
     model = fit(documents.where(~held_out(F.col("doc_id"))))
     narrow = documents.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     return identify(narrow, model).select("doc_id", "held_out", "lang_pred", "score")

@@ -107,3 +107,13 @@ def test_nothing_to_learn(docs_of):
     assert [(r["lang_pred"], r["score"]) for r in out] == [("und", 0.0)] * 2
     assert L.language_report(docs_of([])).count() == 0
     assert len(L.fit(docs_of(corpus()), most_rows=10).langs) >= 1
+
+
+def test_rows_and_languages(docs_of):
+    model = L.fit(docs_of(corpus()))
+    twice = docs_of([(1, "the dogs", None, "s", 1)] * 3 + [(2, "und hunde " * 20_000, None, "s", 1)], clash=True)
+    out = L.identify(twice, model)
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in out.collect()) == [(1, "en")] * 3 + [(2, "de")]
+    assert out.count() == 4 and L.identify(docs_of([]), model).count() == 0
+    with pytest.raises(ValueError):
+        L.fit(docs_of(corpus()), most_langs=1)
