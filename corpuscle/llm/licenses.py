@@ -1,9 +1,9 @@
 """Licence scan with a positional index of rare tokens.
 
-The licence words' IDF over all files decides which of a template's words are rare enough to look up. Each
-occurrence in a file is laid over the templates' postings; occurrences that agree on the relative position
-vote for a template at a place. A place with votes enough is a licence notice if one of the template's
-mandatory phrases stands there. Columns only: no Python runs on the executors.
+The licence words' IDF over all files ranks the words of each template. Of each file the words of highest IDF that
+it shares with a template are looked up in the templates' postings; occurrences that agree on the relative position
+vote for a template at a place. A place with votes enough is a licence notice if one of the template's mandatory
+phrases stands there. Columns only: no Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -14,28 +14,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_texts
 from .common import col, let, rows_of, written
 
 #: Phrases that give a label wherever they stand.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Fixed values: (label, wording of the public notice, mandatory phrases of which one must stand in its place).
-TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0", ["apache license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
-    ("cc-by", "licensed under cc by 4 0", ["licensed under cc by 4"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["licensed under cc by nc"]),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ["licensed under cc by sa"]),
-    ("gpl", "this work is licensed under the gnu general public license version 3", ["gnu general public license"]),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["gnu general public license"]),
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-]
-
+#: (label, wording of the licence or notice, mandatory phrases), and of each wording its words.
+TEMPLATES = [(label, " ".join(text.split()), phrases) for label, text, phrases in license_texts.TEMPLATES]
+#: So many of a file's words of highest IDF are looked up for each template.
+RARE = 8
 #: Every phrase above holds one of these; files without any need no look at their places.
-STEMS = ("licen", "redistribution", "permission", "creative")
+STEMS = ("licen", "redistribution", "permission", "creative", "unencumbered", "altered source")
 #: Between words: the ASCII characters that are neither letters nor digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -87,26 +77,27 @@ def rules(spark: SparkSession) -> DataFrame:
     return rows_of(spark, rows, "template int, label string, phrase string, phrase_place int")
 
 
-def rare_postings(spark: SparkSession, idf: dict[str, float], rare: int = 4) -> DataFrame:
-    """``(word, template, place, idf, mass)``: each template's ``rare`` words of highest IDF (ties: all of them)."""
-    rows = []
-    for t, (_, text, _) in enumerate(TEMPLATES):
-        words = text.split()
-        ranked = sorted((idf[w] for w in set(words)), reverse=True)
-        picked = [(w, t, i, idf[w]) for i, w in enumerate(words) if idf[w] >= ranked[:rare][-1]]
-        mass = sum(x[3] for x in picked)
-        rows += [(*x, mass) for x in picked]
-    return rows_of(spark, rows, "word string, template int, place int, idf double, mass double")
+def postings(spark: SparkSession, idf: dict[str, float]) -> DataFrame:
+    """``(template, word, place, idf)``: where the words of each template stand in it."""
+    rows = [(t, w, i, idf[w]) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split())]
+    return rows_of(spark, rows, "template int, word string, place int, idf double")
+
+
+def by_rarity(template: int, idf: dict[str, float]) -> list[str]:
+    """A template's words, those of highest IDF first, ties by word."""
+    return sorted(set(TEMPLATES[template][1].split()), key=lambda w: (-idf[w], w))
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", votes: float = 0.6) -> DataFrame:
     """A row per document: ``key``, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts the places of the base phrases; first_word and last_word are the least and the largest of
-    their starts (null: none). A notice of the method needs ``votes`` of the rare words' IDF of its template
-    on one alignment, and a mandatory phrase there. ``score`` is the largest such share (0: no notice).
-    Labels are distinct, sorted and comma-joined, '' if there are none. Null and empty texts have no words.
-    Equal rows give equal rows.
+    their starts (null: none). For each template the file's RARE words of highest IDF that the template has are
+    looked up. A notice of the method needs, on one alignment, ``votes`` of the IDF that the template's own RARE
+    highest words have, and a mandatory phrase there; so a notice with some of these altered is found by its next
+    ones. ``score`` is the largest such share (0: no notice). Labels are distinct, sorted and comma-joined, '' if there
+    are none. Null and empty texts have no words. Texts count whole, however long. Equal rows give equal rows, an
+    empty table an empty result; other columns may have any name.
     """
     spark = docs.sparkSession
     vocab = F.array(*[F.lit(w) for w in vocabulary()])
@@ -129,14 +120,27 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", votes: float
     n = max(1, scanned.count())
     df = {r[0]: r[1] for r in scanned.select(F.explode("present").alias("word")).groupBy("word").count().collect()}  # the vocabulary at most
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-9 for w in vocabulary()}
-    postings = F.broadcast(rare_postings(spark, idf))  # a few words of each template
+    where = F.broadcast(postings(spark, idf))  # the words of the templates
+    ranked = [by_rarity(t, idf) for t in range(len(TEMPLATES))]
+    mass = rows_of(spark, [(t, sum(idf[w] for w in words[:RARE])) for t, words in enumerate(ranked)], "template int, mass double")
     seen = scanned.where("seen is not null").dropDuplicates(["row"])
+
+    def looked_up(template: int) -> Column:
+        """The places of the file's rarest words of a template."""
+        chosen = F.slice(F.array_intersect(F.array(*map(F.lit, ranked[template])), "present"), 1, RARE)
+        at = F.filter("seen.at", lambda x: F.array_contains(chosen, x["word"]))
+        return F.transform(at, lambda x: F.struct(F.lit(template).alias("template"), x["word"].alias("word"), x["at"].alias("at")))
+
     voted = (
-        seen.select("row", F.explode("seen.at").alias("at"))
-        .select("row", "at.word", "at.at")
-        .join(postings, "word")
-        .groupBy("row", "template", (F.col("at") - F.col("place")).alias("shift"))
-        .agg((F.sum("idf") / F.first("mass")).alias("share"))
+        seen.select("row", F.explode(F.flatten(F.array(*map(looked_up, range(len(TEMPLATES)))))).alias("at"))
+        .select("row", "at.*")
+        .join(where, ["template", "word"])
+        .select("row", "template", "word", "idf", (F.col("at") - F.col("place")).alias("shift"))
+        .distinct()
+        .groupBy("row", "template", "shift")
+        .agg(F.sum("idf").alias("votes"))
+        .join(F.broadcast(mass), "template")
+        .withColumn("share", F.col("votes") / F.col("mass"))
         .where(F.col("share") >= votes)
     )
     phrases = seen.select("row", F.explode("seen.phrases").alias("p")).select("row", "p.phrase", F.col("p.at").alias("phrase_at"))

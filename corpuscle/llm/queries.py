@@ -89,17 +89,21 @@ ORACLE_SQL: dict[str, str] = {
         ), idf AS (
             SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)) + 1e-9 AS idf
             FROM (SELECT DISTINCT word FROM posting) LEFT JOIN tok USING (word) GROUP BY word
-        ), least AS (
-            SELECT t, min(idf) AS least FROM (
-                SELECT t, idf, row_number() OVER (PARTITION BY t ORDER BY idf DESC) AS rn
+        ), mass AS (
+            SELECT t, sum(idf) AS mass FROM (
+                SELECT t, idf, row_number() OVER (PARTITION BY t ORDER BY idf DESC, word) AS rn
                 FROM (SELECT DISTINCT t, word FROM posting) JOIN idf USING (word)
-            ) WHERE rn <= 4 GROUP BY t
-        ), rare AS (
-            SELECT t, word, place, idf, sum(idf) OVER (PARTITION BY t) AS mass
-            FROM posting JOIN idf USING (word) JOIN least USING (t) WHERE idf >= least
+            ) WHERE rn <= {licenses.RARE} GROUP BY t
+        ), chosen AS (
+            SELECT doc_id, t, word, idf FROM (
+                SELECT doc_id, t, word, idf, row_number() OVER (PARTITION BY doc_id, t ORDER BY idf DESC, word) AS rn
+                FROM (SELECT DISTINCT doc_id, word FROM tok) JOIN (SELECT DISTINCT t, word FROM posting) USING (word) JOIN idf USING (word)
+            ) WHERE rn <= {licenses.RARE}
         ), voted AS (
-            SELECT doc_id, t, pos - place AS shift, sum(idf) / any_value(mass) AS share
-            FROM tok JOIN rare USING (word) GROUP BY doc_id, t, pos - place HAVING sum(idf) / any_value(mass) >= 0.6
+            SELECT doc_id, t, shift, sum(idf) / any_value(mass) AS share FROM (
+                SELECT DISTINCT doc_id, t, word, idf, pos - place AS shift
+                FROM tok JOIN chosen USING (doc_id, word) JOIN posting USING (t, word)
+            ) JOIN mass USING (t) GROUP BY doc_id, t, shift HAVING sum(idf) / any_value(mass) >= 0.6
         ), must AS (
             SELECT m.t, p.place, string_split(m.phrase, ' ') AS phrase FROM (VALUES {_MANDATORY}) AS m(t, phrase)
             JOIN template USING (t) JOIN posting p ON p.t = m.t AND wording[place + 1:place + len(string_split(m.phrase, ' '))] = string_split(m.phrase, ' ')
