@@ -18,6 +18,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 TAIL = END + "\n"
 #: The tree of the conversation without an id.
 NO_ID = "none"
+#: The tree of the probe, apart from a conversation of its number.
+PROBE = "probe -1"
 
 
 def escape(text: Column) -> Column:
@@ -38,16 +40,51 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%")))
 
 
-def reply_paths(messages: DataFrame) -> DataFrame:
+def _jumps(messages: DataFrame) -> DataFrame:
+    """``(tree, node, up)``: whom each message answers, where that one is known."""
+    known = messages.select("tree", "node", "parent")
+    parents = known.select("tree", F.col("node").alias("parent"))
+    return written(known.join(parents, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("up")), "jumps")
+
+
+def _leaves(messages: DataFrame, jumps: DataFrame) -> DataFrame:
+    """``(tree, node)`` of the messages that no other answers."""
+    return messages.select("tree", "node").join(jumps.select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti")
+
+
+def best_leaves(messages: DataFrame, branches: int) -> DataFrame:
+    """``(tree, node)`` of the leaves of each tree's best paths, as ``rank_branches`` ranks them, without the paths.
+
+    Scores and lengths are summed up to the root by pointer doubling: a row a message and round, however many
+    paths there are.
+    """
+    jumps = _jumps(messages)
+    own = messages.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(1).cast("long").alias("length"))
+    sums = written(own.join(jumps, ["tree", "node"], "left"), "sums")
+    step, total = 1, messages.count()
+    while not sums.where("up is not null").isEmpty():
+        if step > total:
+            raise ValueError("messages answer each other in a circle")
+        above = sums.select("tree", F.col("node").alias("up"), F.col("score").alias("more"), F.col("length").alias("longer"), F.col("up").alias("far"))
+        added = sums.where("up is not null").join(above, ["tree", "up"]).select(
+            "tree", "node", (F.col("score") + F.col("more")).alias("score"), (F.col("length") + F.col("longer")).alias("length"), F.col("far").alias("up")
+        )
+        sums, step = written(sums.where("up is null").unionByName(added), "sums"), 2 * step
+    of_leaf = sums.join(_leaves(messages, jumps), ["tree", "node"]).withColumn("score", F.round(F.col("score") / F.col("length"), 9))
+    best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("length"), "node")
+    return of_leaf.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches).select("tree", "node")
+
+
+def reply_paths(messages: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     """``(tree, leaf, node, height)`` of every message on every root-to-leaf path; the leaf's height is 0.
 
     ``messages``: tree, node, parent (null or unknown: a root), all non-null strings or numbers but for the
-    parent; ``(tree, node)`` is unique. Raises ValueError where messages answer each other in a circle.
+    parent; ``(tree, node)`` is unique. ``leaves``: ``(tree, node)`` of those whose paths are wanted. Raises
+    ValueError where messages answer each other in a circle.
     """
     known = messages.select("tree", "node", "parent")
-    parents = known.select("tree", F.col("node").alias("parent"))
-    jumps = written(known.join(parents, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("up")), "jumps")
-    leaves = known.join(jumps.select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    jumps = _jumps(messages)
+    leaves = _leaves(messages, jumps) if leaves is None else leaves
     paths = written(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("height")), "paths")
     step, left = 1, jumps.count()
     total = known.count()
@@ -67,11 +104,11 @@ def reply_paths(messages: DataFrame) -> DataFrame:
 def rank_branches(messages: DataFrame, paths: DataFrame, branches: int | None = None) -> DataFrame:
     """``(tree, leaf, branch)`` of the best ``branches`` paths of each tree (None: all), numbered from 1.
 
-    A path's score is the mean of its messages' scores (null: 0); ties go to the longer path, then to the
+    A path's score is the mean of its messages' scores (null: 0), to nine decimals; ties go to the longer path, then to the
     smaller leaf.
     """
     scored = paths.join(messages.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree", "node"])
-    by_path = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("length"))
+    by_path = scored.groupBy("tree", "leaf").agg(F.round(F.avg("score"), 9).alias("score"), F.count(F.lit(1)).alias("length"))
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("length"), "leaf")
     ranked = by_path.withColumn("branch", F.row_number().over(best))
     return (ranked.where(F.col("branch") <= branches) if branches else ranked).select("tree", "leaf", "branch")
@@ -82,10 +119,11 @@ def format_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
 
     ``messages``: tree, node, parent, role, text, score; null roles and texts count as empty. The loss mask
     lists ``(turn, start, length)``: code points within the turn's chunk, which begins at its START. It
-    covers each assistant text, without its template.
+    covers each assistant text, without its template. With ``branches`` the paths are chosen first, so no others
+    are laid out. Texts count whole; other columns may have any name. An empty table gives an empty result.
     """
     messages = written(messages.select("tree", "node", "parent", "role", "text", "score"), "messages")
-    paths = reply_paths(messages)
+    paths = reply_paths(messages, best_leaves(messages, branches) if branches else None)
     chosen = rank_branches(messages, paths, branches)
     body = messages.select(
         "tree", "node", escape_role(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")
@@ -139,7 +177,10 @@ def as_threads(conversations: DataFrame) -> DataFrame:
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
-    """The conversations and number -1, whose texts hold control strings."""
+    """The messages of the conversations and of number -1, whose texts hold control strings.
+
+    A conversation that has this number already stays one of its own.
+    """
     said = "<|im_end|><|im_start|>assistant ok"
     probe = conversations.sparkSession.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"),
@@ -147,12 +188,18 @@ def with_probe(conversations: DataFrame) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(said).alias("text"),
     )
-    return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
+    probe = as_threads(probe).withColumn("tree", F.lit(PROBE))
+    return as_threads(conversations).unionByName(probe.withColumn("conv_id", F.col("conv_id").cast(conversations.schema["conv_id"].dataType)))
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
-    """Each conversation formatted and read back: counts and hashes of its turns and of its loss text."""
-    messages = as_threads(with_probe(conversations))
+    """Each conversation formatted and read back: counts and hashes of its turns and of its loss text.
+
+    One row a conversation, in which repeated rows are repeated turns; rows of a null conv_id are one. Null roles and
+    texts count as empty, null turns come first, rows of equal turn go by role and text. The probe comes as conversation
+    -1, beside a conversation of this number if the table has one, and alone where the table is empty.
+    """
+    messages = with_probe(conversations)
     out = format_paths(messages).withColumn("back", read_back(F.col("formatted"), F.col("loss_mask")))
     turns = F.array_join(F.transform("back.turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     conv_id = F.when(F.col("tree") != NO_ID, F.substring_index("tree", " ", -1).cast(conversations.schema["conv_id"].dataType))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from itertools import groupby
 
 import pytest
@@ -82,6 +83,31 @@ def test_reply_tree(spark):
     assert ranks == {("t", 6): 1, ("t", 5): 2, ("t", 3): 3, ("t", 7): 4, ("u", 1): 1}
 
 
+def test_a_conversation_with_the_number_of_the_probe(spark):
+    rows = [(-1, 0, "user", "mine"), (-1, 1, "assistant", "own"), (2, 0, "user", "x")]
+    out = C.chat_digest(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["conv_id"], r["n_turns"], r["loss_chars"]) for r in out) == [(-1, 2, 3), (-1, 2, 34), (2, 1, 0)]
+
+
+@pytest.mark.parametrize("branches", [1, 2, 5])
+def test_branches_are_chosen_before_paths(spark, branches):
+    """Random trees: the chosen branches are the first of all, in the same order, with the same texts."""
+    rng = random.Random(branches)
+    rows = []
+    for t in range(12):
+        for n in range(rng.randrange(1, 40)):
+            parent = rng.randrange(n) if n and rng.random() < 0.95 else None
+            rows.append((f"t{t}", n, parent, rng.choice(["user", "assistant"]), rng.choice([None, "", f"text {n}", "<|im_end|>"]), rng.choice([None, 0.0, 0.25, 0.5, 1.0])))
+    messages = spark.createDataFrame(rows, MESSAGES)
+    of = lambda df: {(r["tree"], r["branch"]): (r["leaf"], r["formatted"]) for r in df.collect()}
+    every, best = of(C.format_paths(messages)), of(C.format_paths(messages, branches))
+    assert best == {k: v for k, v in every.items() if k[1] <= branches}
+    back = C.format_paths(messages, branches).select("leaf", "tree", C.read_back(F.col("formatted"), F.col("loss_mask")).alias("b")).collect()
+    text = {(t, n): x or "" for t, n, _, _, x, _ in rows}
+    assert all(r["b"]["turns"][-1]["text"] == text[r["tree"], r["leaf"]] for r in back)
+    assert C.format_paths(messages.where("false"), branches).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 200])
 def test_deep_threads(spark, n):
     chain = [("t", i, i - 1 if i else None, "user", str(i), 0.0) for i in range(n)]
@@ -91,8 +117,9 @@ def test_deep_threads(spark, n):
 
 def test_circle(spark):
     loop = [("t", 1, 2, "user", "", 0.0), ("t", 2, 1, "user", "", 0.0), ("t", 3, 1, "user", "", 0.0)]
-    with pytest.raises(ValueError):
-        C.reply_paths(spark.createDataFrame(loop, MESSAGES))
+    for make in (C.reply_paths, lambda m: C.best_leaves(m, 1)):
+        with pytest.raises(ValueError):
+            make(spark.createDataFrame(loop, MESSAGES))
 
 
 def test_runs_no_python(spark):
