@@ -9,10 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: Python gets rows in batches of so many bytes: Spark's own bound (64 MB) takes several times that in a task.
+BATCH, BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20, "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once a context: they need no copy on their own path."""
+    """Sends the package to the executors, once a context: they need no copy on their own path.
+
+    Also bounds the batches that Python gets in this session, unless the session says how large they may be.
+    """
+    if spark.conf.get(BATCH, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_corpuscle_shipped", False):
         return
