@@ -64,7 +64,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: its lineage ends there and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/corpuscle/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._corpuscle_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once all that is still to be read from them has been written itself."""
+    for table in tables:
+        spark, path = table.sparkSession, table._corpuscle_path
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: A key counts as hot beyond this share of all rows, so there are fewer hot keys than HOT_KEYS.

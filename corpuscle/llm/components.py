@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, written
+from .common import drop, hot_join, written
 
 
 def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
@@ -43,5 +43,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             ).distinct()
         before = state
         spread = written(_star(now, True, state[0]), "edges")
+        drop(now)
         now = written(_star(spread, False, state[0]), "edges")
+        drop(spread)
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
