@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,11 +19,12 @@ APART = r"""[;@#$%&?!()\[\]{}<>"“”‘’«»…]|[.]{3}|--"""
 #: A comma or colon parts words, but not digits.
 COMMA = r"[:,]([^0-9])"
 #: Clitics split off a word; alone they are too short to be terms.
-CLITIC = r"(n't|'(s|re|ve|ll|d|m))[.]*$"
+CLITIC = r"(n't|'(s|re|ve|ll|d|m))[.]*"
 #: The 32 ASCII punctuation characters.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
-WORD = r"^\p{L}+$"
 MIN_LENGTH = 3
+#: A word of letters only between blanks, long enough to be a term.
+WORD = rf"(?<![^ ])\p{{L}}{{{MIN_LENGTH},}}(?![^ ])"
 SNIPPET = 300
 ABSTRACT_URL = "https://arxiv.org/abs/"
 
@@ -33,13 +36,19 @@ LEMMA_RULES = [
 ]
 
 
+def replace_where(text: Column, marks: list[str], pattern: str, by: str) -> Column:
+    """``regexp_replace`` of the texts that hold one of the ``marks``, without which nothing can match."""
+    may = reduce(operator.or_, [F.contains(text, F.lit(m)) for m in marks])
+    return F.when(may, F.regexp_replace(text, pattern, by)).otherwise(text)
+
+
 def strip_html(text: Column) -> Column:
-    return F.regexp_replace(text, TAG, " ")
+    return replace_where(text, ["<"], TAG, " ")
 
 
 def strip_urls(text: Column) -> Column:
     """Case-sensitive: to be used before lower-casing."""
-    return F.regexp_replace(text, URL, " ")
+    return replace_where(text, ["http", "www."], URL, " ")
 
 
 def collapse(text: Column) -> Column:
@@ -57,21 +66,20 @@ def clean_lexical(text: Column) -> Column:
     return F.lower(collapse(strip_urls(strip_html(text))))
 
 
-def raw_tokens(text: Column) -> Column:
-    """Words and marks of a cleaned text, punctuation and clitics taken off; may hold empty strings."""
+def bare(text: Column) -> Column:
+    """A cleaned text with its marks set apart, and its words without clitics and punctuation."""
     apart = F.regexp_replace(F.regexp_replace(text, APART, " "), COMMA, " $1")
-    return F.transform(
-        F.split(apart, " "), lambda t: F.regexp_replace(F.regexp_replace(t, CLITIC, ""), PUNCTUATION, "")
-    )
+    return F.regexp_replace(replace_where(apart, ["'"], CLITIC + "(?= |$)", ""), PUNCTUATION, "")
 
 
 def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Content words in order, repeats kept: letters only, three at least, no stop words. Null text: none."""
+    """Content words in order, repeats kept: letters only, three at least, no stop words. Null text: none.
+
+    Works on whole texts up to the last step, as a function of each word would not be compiled.
+    """
     stop = ENGLISH if stop_words is None else stop_words
-    found = F.filter(
-        raw_tokens(clean_lexical(text)),
-        lambda t: t.rlike(WORD) & (F.length(t) >= MIN_LENGTH) & (~t.isin(stop) if stop else F.lit(True)),
-    )
+    found = F.regexp_extract_all(bare(clean_lexical(text)), F.lit(WORD), F.lit(0))
+    found = F.filter(found, lambda t: ~t.isin(stop)) if stop else found
     return F.coalesce(found, F.array().cast("array<string>"))
 
 

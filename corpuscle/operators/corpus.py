@@ -8,22 +8,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as X
+from corpuscle.session import written
 
 
 def dedup_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per distinct non-null text: the one with the smallest key.
 
-    Groups by a hash of the text first, so a text shared by very many rows is reduced before the shuffle.
+    Groups by a hash of the text, so a text shared by very many rows is reduced before the shuffle. Rows of equal key
+    and text are told apart by a hash, too: no text is compared or sorted.
     """
     live = docs.where(F.col(text).isNotNull())
     first = live.groupBy(F.sha2(text, 256).alias("__h")).agg(F.min(key).alias("__k"))
-    keep = live.withColumn("__h", F.sha2(text, 256)).join(first, "__h").where(F.col(key) == F.col("__k")).drop("__h", "__k")
-    return keep.dropDuplicates([key, text])
+    keep = live.withColumn("__h", F.sha2(text, 256)).join(first, "__h").where(F.col(key) == F.col("__k"))
+    return keep.dropDuplicates(["__h"]).drop("__h", "__k")
 
 
 def with_doc_idx(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``doc_idx`` from 0 in order of the key: range-sorted, then counted by partition (no single task)."""
-    ordered = docs.orderBy(key).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    """``doc_idx`` from 0 in order of the key; null keys come first, rows of one key in any order.
+
+    Rows are range-sorted and numbered by partition (no single task). Partition and number are written beside them,
+    so that sizes and rows cannot come from two sorts that parted the rows differently.
+    """
+    ordered = written(docs.orderBy(key).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()), "ordered")
     sizes = ordered.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
     starts = sizes.withColumn("__start", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")  # a row per partition
     return ordered.join(F.broadcast(starts), "__p").withColumn("doc_idx", F.col("__start") + F.col("__i") - F.col("__first")).drop("__p", "__i", "__start", "__first")

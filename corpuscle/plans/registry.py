@@ -70,9 +70,9 @@ def sql_clean(x: str) -> str:
 
 def sql_tokens(x: str) -> str:
     apart = f"regexp_replace(regexp_replace({sql_clean(x)}, {_quoted(X.APART)}, ' ', 'g'), {_quoted(X.COMMA)}, ' \\1', 'g')"
-    bare = f"list_transform(string_split({apart}, ' '), lambda t: regexp_replace(regexp_replace(t, {_quoted(X.CLITIC)}, ''), {_quoted(X.PUNCTUATION)}, '', 'g'))"
+    bare = f"list_transform(string_split({apart}, ' '), lambda t: regexp_replace(regexp_replace(t, {_quoted(X.CLITIC + "$")}, ''), {_quoted(X.PUNCTUATION)}, '', 'g'))"
     stop = ", ".join(map(_quoted, ENGLISH))
-    return f"list_filter({bare}, lambda t: regexp_matches(t, {_quoted(X.WORD)}) AND length(t) >= {X.MIN_LENGTH} AND NOT list_contains([{stop}], t))"
+    return f"list_filter({bare}, lambda t: regexp_matches(t, '^\\p{{L}}+$') AND length(t) >= {X.MIN_LENGTH} AND NOT list_contains([{stop}], t))"
 
 
 def sql_bigrams(terms: str) -> str:
@@ -127,9 +127,9 @@ def corpus_status(spark, sf_dir):
     return C.status(corpus(spark, sf_dir))
 
 
-@query(f"WITH {D} SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS doc_idx FROM d")
+@query(f"WITH {D} SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS doc_idx, sha256(text) AS text_sha FROM d")
 def corpus_doc_idx(spark, sf_dir):
-    return C.with_doc_idx(corpus(spark, sf_dir).select("doc_id"))
+    return C.with_doc_idx(corpus(spark, sf_dir)).select("doc_id", "doc_idx", F.sha2("text", 256).alias("text_sha"))
 
 
 @query(f"""SELECT page_id, trim(regexp_replace(regexp_replace(html, {_quoted(X.TAG)}, ' ', 'g'), {_quoted(X.BLANKS)}, ' ', 'g')) AS cleaned FROM pages""")
