@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,21 +32,17 @@ LEMMA_RULES = [
     ("ing", ""), ("ing", "e"), ("ed", ""), ("ed", "e"), ("es", ""), ("es", "e"), ("s", ""),
     ("est", ""), ("est", "e"), ("er", ""), ("er", "e"),
 ]
-
-
-def replace_where(text: Column, marks: list[str], pattern: str, by: str) -> Column:
-    """``regexp_replace`` of the texts that hold one of the ``marks``, without which nothing can match."""
-    may = reduce(operator.or_, [F.contains(text, F.lit(m)) for m in marks])
-    return F.when(may, F.regexp_replace(text, pattern, by)).otherwise(text)
+#: The parts of speech (n, v, a, r) that a suffix inflects, where these are not nouns and verbs alike.
+LEMMA_POS = {"ing": "v", "ed": "v", "men": "n", "est": "a", "er": "a"}
 
 
 def strip_html(text: Column) -> Column:
-    return replace_where(text, ["<"], TAG, " ")
+    return F.regexp_replace(text, TAG, " ")
 
 
 def strip_urls(text: Column) -> Column:
     """Case-sensitive: to be used before lower-casing."""
-    return replace_where(text, ["http", "www."], URL, " ")
+    return F.regexp_replace(text, URL, " ")
 
 
 def collapse(text: Column) -> Column:
@@ -69,7 +63,7 @@ def clean_lexical(text: Column) -> Column:
 def bare(text: Column) -> Column:
     """A cleaned text with its marks set apart, and its words without clitics and punctuation."""
     apart = F.regexp_replace(F.regexp_replace(text, APART, " "), COMMA, " $1")
-    return F.regexp_replace(replace_where(apart, ["'"], CLITIC + "(?= |$)", ""), PUNCTUATION, "")
+    return F.regexp_replace(F.regexp_replace(apart, CLITIC + "(?= |$)", ""), PUNCTUATION, "")
 
 
 def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
@@ -133,6 +127,33 @@ def wordnet_pos(tag: Column) -> Column:
     return F.when(tag.startswith("J"), "a").when(tag.startswith("V"), "v").when(tag.startswith("R"), "r").otherwise("n")
 
 
+def penn_tag(word: Column) -> Column:
+    """A word's Penn tag by its ending, where no tagger is at hand: adverbs, participles, adjectives, plurals, else NN."""
+    return (
+        F.when(word.rlike("...ly$"), "RB")
+        .when(word.rlike("...ing$"), "VBG")
+        .when(word.rlike("...ed$"), "VBD")
+        .when(word.rlike("...(ous|ful|less|able|ible|ical|ive|est)$"), "JJ")
+        .when(word.rlike("..[^su]s$"), "NNS")
+        .otherwise("NN")
+    )
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def plural(n: Column, noun: str) -> Column:
+    """``1 paper``, ``2,538 papers``."""
+    return F.concat(thousands(n), F.lit(f" {noun}"), F.when(n == 1, "").otherwise("s"))
+
+
+def badge(text: Column) -> Column:
+    """In upper case, as labels of a device are shown."""
+    return F.upper(text)
+
+
 def score_text(score: Column) -> Column:
     """The console's four decimals."""
     return F.format_string("%.4f", score)

@@ -12,15 +12,14 @@ from corpuscle.session import written
 
 
 def dedup_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per distinct non-null text: the one with the smallest key.
+    """One row per distinct non-null text: the one with the smallest key (null keys come last).
 
-    Groups by a hash of the text, so a text shared by very many rows is reduced before the shuffle. Rows of equal key
-    and text are told apart by a hash, too: no text is compared or sorted.
+    Groups by a hash of the text in one shuffle, and in part before it, so a text shared by very many rows is sent a
+    few times only; no texts are compared.
     """
-    live = docs.where(F.col(text).isNotNull())
-    first = live.groupBy(F.sha2(text, 256).alias("__h")).agg(F.min(key).alias("__k"))
-    keep = live.withColumn("__h", F.sha2(text, 256)).join(first, "__h").where(F.col(key) == F.col("__k"))
-    return keep.dropDuplicates(["__h"]).drop("__h", "__k")
+    live, order = docs.where(F.col(text).isNotNull()), F.struct(F.col(key).isNull(), F.col(key))
+    first = live.groupBy(F.sha2(text, 256).alias("__h")).agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
+    return first.select("__row.*")
 
 
 def with_doc_idx(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -54,6 +53,12 @@ def content_key(docs: DataFrame, text: str = "text", key: str = "doc_id", **para
     return hashlib.sha1(repr((n, xor, total, sorted(params.items()))).encode()).hexdigest()[:16]
 
 
+def table_key(rows: DataFrame) -> str:
+    """A key of a table's rows, in any order, computed in parallel."""
+    h = F.xxhash64(*rows.columns)
+    return repr(tuple(rows.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()))
+
+
 def status(docs: DataFrame, device: str = "cpu", methods: int = 3) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("corpus_size")).select(F.lit("ok").alias("status"), "corpus_size", F.lit(device).alias("device"), F.lit(methods).alias("n_methods"))
 

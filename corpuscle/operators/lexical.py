@@ -2,36 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as X
+from corpuscle.session import written
 
+#: Of a text column: its terms in order, an array of strings.
+Tokeniser = Callable[[Column], Column]
 
-def tokens_long(docs: DataFrame, text: str = "text", key: str = "doc_id", ngram_range: tuple[int, int] = (1, 1), stop_words: list[str] | None = None) -> DataFrame:
-    """``(doc_id, pos, term)``, positions counted after filtering."""
-    terms = X.tokens(F.col(text), stop_words)
+
+def tokens_long(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", ngram_range: tuple[int, int] = (1, 1), stop_words: list[str] | None = None, tokenise: Tokeniser | None = None
+) -> DataFrame:
+    """``(doc_id, pos, term)``, positions counted after filtering. ``tokenise`` takes the place of ``text.tokens``."""
+    terms = X.tokens(F.col(text), stop_words) if tokenise is None else tokenise(F.col(text))
     rows = docs.select(F.col(key).alias("doc_id"), terms.alias("terms"))
     if ngram_range != (1, 1):
         rows = rows.select("doc_id", X.ngrams(F.col("terms"), *ngram_range).alias("terms"))
     return rows.select("doc_id", F.posexplode("terms").alias("pos", "term"))
 
 
-def lemmas(tokens: DataFrame, known_terms: DataFrame | None = None) -> DataFrame:
+def lemmas(tokens: DataFrame, known_terms: DataFrame | None = None, tag: Tokeniser | None = None) -> DataFrame:
     """``tokens`` with terms replaced by the first base form, by suffix rules, that the corpus itself holds.
 
-    ``known_terms``: the corpus' distinct terms, where ``tokens`` are of queries.
+    ``known_terms``: the corpus' distinct terms, where ``tokens`` are of queries. ``tag``: of the term column, its Penn
+    tag (``text.penn_tag``, or a tagger's); then only the rules of that part of speech are tried.
     """
     vocabulary = tokens.select("term").distinct()
     bases = vocabulary if known_terms is None else known_terms.select("term")
-    forms = F.array(
-        *[
-            F.when(F.col("term").endswith(suffix) & (F.length("term") > len(suffix) + 2), F.concat(F.expr(f"substring(term, 1, length(term) - {len(suffix)})"), F.lit(base)))
-            for suffix, base in X.LEMMA_RULES
-        ]
-    )
+    pos = None if tag is None else X.wordnet_pos(tag(F.col("term")))
+
+    def form(suffix: str, base: str, of: str) -> Column:
+        may = F.col("term").endswith(suffix) & (F.length("term") > len(suffix) + 2)
+        may = may if pos is None else may & F.lit(of).contains(pos)
+        return F.when(may, F.concat(F.expr(f"substring(term, 1, length(term) - {len(suffix)})"), F.lit(base)))
+
+    forms = F.array(*[form(suffix, base, X.LEMMA_POS.get(suffix, "nv")) for suffix, base in X.LEMMA_RULES])
     tried = vocabulary.select("term", F.posexplode(forms).alias("rule", "base")).where("base is not null")
     known = tried.join(bases.withColumnRenamed("term", "base"), "base", "left_semi")
     chosen = known.groupBy("term").agg(F.min_by("base", "rule").alias("lemma"))
@@ -47,8 +57,9 @@ def vocabulary(tokens: DataFrame, min_count: int = 2) -> DataFrame:
 
 
 def top_terms(tokens: DataFrame, n: int) -> DataFrame:
-    """The ``n`` most frequent terms, ties by term."""
-    return term_frequency(tokens).orderBy(F.desc("cnt"), "term").limit(n)
+    """The ``n`` most frequent terms, ties by term. ``tokens``: rows, or counts ``(doc_id, term, tf)`` of them."""
+    frequency = tokens.groupBy("term").agg(F.sum("tf").alias("cnt")) if "tf" in tokens.columns else term_frequency(tokens)
+    return frequency.orderBy(F.desc("cnt"), "term").limit(n)
 
 
 def doc_term_counts(tokens: DataFrame) -> DataFrame:
@@ -72,7 +83,8 @@ def tf_column(sublinear: bool) -> Column:
 class LexicalIndex:
     """A fitted TF-IDF: corpus ``(doc_id, text)``, terms ``(term, df, idf)``, weights ``(doc_id, term, w)``, norms ``(doc_id, norm)``.
 
-    With ``lemmatise``, ``vocabulary`` has the corpus' terms before that, by which query words are lemmatised.
+    ``counts``: (doc_id, term, tf) of all terms. With ``lemmatise``, ``vocabulary`` has the corpus' terms before that, by
+    which query words are lemmatised. Queries are cut into terms as the corpus was.
     """
 
     corpus: DataFrame
@@ -83,11 +95,14 @@ class LexicalIndex:
     ngram_range: tuple[int, int] = (1, 1)
     lemmatise: bool = False
     vocabulary: DataFrame | None = None
+    counts: DataFrame | None = None
+    stop_words: list[str] | None = None
+    tokenise: Tokeniser | None = None
 
 
-def lemma_tokens(rows: DataFrame, text: str, key: str, ngram_range: tuple[int, int], known_terms: DataFrame | None = None) -> DataFrame:
+def lemma_tokens(rows: DataFrame, text: str, key: str, ngram_range: tuple[int, int], known_terms: DataFrame | None = None, stop_words: list[str] | None = None, tokenise: Tokeniser | None = None) -> DataFrame:
     """``tokens_long`` over lemmas: n-grams are made of these."""
-    tokens = lemmas(tokens_long(rows, text, key), known_terms)
+    tokens = lemmas(tokens_long(rows, text, key, (1, 1), stop_words, tokenise), known_terms)
     if ngram_range == (1, 1):
         return tokens
     again = tokens.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms"))
@@ -95,24 +110,48 @@ def lemma_tokens(rows: DataFrame, text: str, key: str, ngram_range: tuple[int, i
 
 
 def fit(
-    corpus: DataFrame, sublinear: bool = True, ngram_range: tuple[int, int] = (1, 1), max_features: int | None = None, lemmatise: bool = False, n_docs: int | None = None
+    corpus: DataFrame,
+    sublinear: bool = True,
+    ngram_range: tuple[int, int] = (1, 1),
+    max_features: int | None = None,
+    lemmatise: bool = False,
+    n_docs: int | None = None,
+    stop_words: list[str] | None = None,
+    tokenise: Tokeniser | None = None,
+    counts: DataFrame | None = None,
 ) -> LexicalIndex:
-    """Declares the index over ``(doc_id, text)``; nothing but the corpus is counted yet."""
-    tokens = lemma_tokens(corpus, "text", "doc_id", ngram_range) if lemmatise else tokens_long(corpus, ngram_range=ngram_range)
-    known = tokens_long(corpus).select("term").distinct() if lemmatise else None
+    """The index over ``(doc_id, text)``. The corpus is cut into terms once; their counts are a table in the shared folder.
+
+    ``counts``: those of another index over the same corpus and terms, to be used again.
+    """
+    known, how = None, (stop_words, tokenise)
+    if counts is not None:
+        pass
+    elif lemmatise and ngram_range == (1, 1):
+        plain = written(doc_term_counts(tokens_long(corpus, "text", "doc_id", (1, 1), *how)), "counts")
+        known = plain.select("term").distinct()
+        counts = written(lemmas(plain).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")), "counts")
+    else:
+        if lemmatise:
+            tokens = lemma_tokens(corpus, "text", "doc_id", ngram_range, None, *how)
+            known = written(tokens_long(corpus, "text", "doc_id", (1, 1), *how).select("term").distinct(), "vocabulary")
+        else:
+            tokens = tokens_long(corpus, "text", "doc_id", ngram_range, *how)
+        counts = written(doc_term_counts(tokens), "counts")
+    used = counts
     if max_features is not None:
-        tokens = tokens.join(top_terms(tokens, max_features).select("term"), "term", "left_semi")
-    counts = doc_term_counts(tokens)
-    terms = idf_table(counts, corpus.count() if n_docs is None else n_docs)
-    weights = counts.join(terms, "term").select("doc_id", "term", (tf_column(sublinear) * F.col("idf")).alias("w"))
+        used = counts.join(top_terms(counts, max_features).select("term"), "term", "left_semi")
+    terms = idf_table(used, corpus.count() if n_docs is None else n_docs)
+    weights = used.join(terms, "term").select("doc_id", "term", (tf_column(sublinear) * F.col("idf")).alias("w"))
     norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return LexicalIndex(corpus, terms, weights, norms, sublinear, ngram_range, lemmatise, known)
+    return LexicalIndex(corpus, terms, weights, norms, sublinear, ngram_range, lemmatise, known, counts, stop_words, tokenise)
 
 
 def query_weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """``(query_id, term, qw)`` of ``(query_id, query)``; unknown terms vanish, nothing is fitted anew."""
-    of = (queries, "query", "query_id", index.ngram_range)
-    counts = doc_term_counts(lemma_tokens(*of, index.vocabulary) if index.lemmatise else tokens_long(*of)).withColumnRenamed("doc_id", "query_id")
+    of, how = (queries, "query", "query_id", index.ngram_range), (index.stop_words, index.tokenise)
+    tokens = lemma_tokens(*of, index.vocabulary, *how) if index.lemmatise else tokens_long(*of, *how)
+    counts = doc_term_counts(tokens).withColumnRenamed("doc_id", "query_id")
     return counts.join(index.terms, "term").select("query_id", "term", (tf_column(index.sublinear) * F.col("idf")).alias("qw"))
 
 
@@ -120,17 +159,17 @@ def query_weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def score(index: LexicalIndex, queries: DataFrame, n_query_rows: int | None = None) -> DataFrame:
-    """``(query_id, doc_id, score)`` of all pairs that share a term; others score 0. Rounded to six decimals."""
-    q = query_weights(index, queries)
+def score(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, score)`` of all pairs that share a term; others score 0. Rounded to six decimals.
+
+    The queries' weights are a table in the shared folder, whose rows are counted before they are broadcast.
+    """
+    q = written(query_weights(index, queries), "query-weights")
     norms = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    q = q.join(norms, "query_id")
-    if (queries.count() if n_query_rows is None else n_query_rows) * 512 <= BROADCAST_ROWS:  # a query has 500 characters at most
-        q = F.broadcast(q)
-    products = index.weights.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.first("qnorm").alias("qnorm"))
-    return products.join(index.norms, "doc_id").select(
-        "query_id", "doc_id", F.round(F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("qnorm")), F.lit(0.0)), 6).alias("score")
-    )
+    small = F.broadcast if q.count() <= BROADCAST_ROWS else lambda df: df
+    products = index.weights.join(small(q), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    lengths = products.join(small(norms), "query_id").join(index.norms, "doc_id")
+    return lengths.select("query_id", "doc_id", F.round(F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("qnorm")), F.lit(0.0)), 6).alias("score"))
 
 
 def search(index: LexicalIndex, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -169,3 +208,20 @@ def density(index: LexicalIndex, n_docs: int) -> DataFrame:
     """Stored weights, vocabulary and the share of the matrix that is not 0, in percent."""
     terms = index.terms.agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("df").alias("nnz"))
     return terms.select("nnz", F.lit(n_docs).cast("long").alias("n_docs"), "vocabulary", F.round(100 * F.try_divide(F.col("nnz"), F.lit(n_docs) * F.col("vocabulary")), 6).alias("density_pct"))
+
+
+def dense_rows(index: LexicalIndex) -> DataFrame:
+    """``(doc_id, vector)``: rows of weights as arrays, in the order of the terms; for small vocabularies.
+
+    Raises ValueError beyond DENSE_TERMS terms, where a row is too long to be held.
+    """
+    names = [r[0] for r in index.terms.select("term").orderBy("term").limit(DENSE_TERMS + 1).collect()]
+    if len(names) > DENSE_TERMS:
+        raise ValueError(f"more than {DENSE_TERMS} terms")
+    own = index.weights.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m"))
+    of = F.transform(F.array(*map(F.lit, names)).cast("array<string>"), lambda t: F.coalesce(F.element_at("m", t), F.lit(0.0)))
+    return index.corpus.select("doc_id").join(own, "doc_id", "left").select("doc_id", of.alias("vector"))
+
+
+#: Terms of a matrix that may be made dense.
+DENSE_TERMS = 20_000

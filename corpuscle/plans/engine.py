@@ -13,7 +13,7 @@ from corpuscle.operators import corpus as C
 from corpuscle.operators import dense, embed, lexical
 from corpuscle.operators import rank as R
 
-from . import validate
+from . import retrievers, validate
 
 log = logging.getLogger(__name__)
 
@@ -34,15 +34,27 @@ class Options:
 class SearchEngine:
     """Builds the arms over ``(doc_id, text)`` rows and searches them.
 
-    Tables are written under ``<cache>/<key>``; the key covers ids, lengths, texts and options. An unreadable
-    table is built anew. Without an encoder, and without ``doc_vectors`` given, there is no third arm.
+    Tables are written under ``<cache>/<key>``; the key covers ids, lengths, texts, options, the encoder and given word
+    vectors. A table whose writing did not end is built anew; errors of reading are raised. Without an encoder there
+    is no third arm. ``more``: further retrievers, asked beside the engine's own.
     """
 
-    def __init__(self, docs: DataFrame, cache: str, options: Options | None = None, encoder: embed.Encoder | None = None, word_vectors: DataFrame | None = None):
+    def __init__(
+        self,
+        docs: DataFrame,
+        cache: str,
+        options: Options | None = None,
+        encoder: embed.Encoder | None = None,
+        word_vectors: DataFrame | None = None,
+        more: list[retrievers.Retriever] | None = None,
+        device: str | None = None,
+    ):
         self.spark: SparkSession = docs.sparkSession
         self.options, self.encoder = options or Options(), encoder
         clean = C.dedup_first(docs.select("doc_id", "text"))
-        self.key = C.content_key(clean, **vars(self.options), encoder=type(encoder).__name__)
+        self.device = embed.device() if device is None else device
+        given = None if word_vectors is None else C.table_key(word_vectors.select("word", "vector"))
+        self.key = C.content_key(clean, **vars(self.options), encoder=embed.encoder_key(encoder), words=given)
         self.root = f"{cache.rstrip('/')}/{self.key}"
         self.corpus = self._kept("corpus", lambda: clean)
         self.n_docs = self.corpus.count()
@@ -61,15 +73,20 @@ class SearchEngine:
         self.width = self.word_vectors.select(F.max(F.size("vector"))).first()[0] or o.vector_size
         self.doc_vectors = self._kept("doc_vectors", lambda: dense.mean_vectors(tokens, self.word_vectors, self.corpus, self.width))
         self.encoded = self._kept("encoded", lambda: embed.encode(self.corpus, encoder).select("doc_id", "vector")) if encoder else None
+        self.retrievers = [retrievers.Lexical(self.index), retrievers.WordVectors(self.word_vectors, self.doc_vectors, self.width)]
+        self.retrievers += [retrievers.Encoded(encoder, self.encoded)] if encoder else []
+        self.retrievers += more or []
+
+    @property
+    def methods(self) -> list[str]:
+        return [r.key for r in self.retrievers]
 
     def _kept(self, name: str, build, by: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}.parquet"
-        try:
-            df = self.spark.read.parquet(path)
-            df.limit(1).count()
-            return df
-        except Exception as e:  # missing or broken: Spark's errors for these have no common class
-            log.info("building %s (%s)", path, type(e).__name__)
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done):
+            return self.spark.read.parquet(path)
+        log.info("building %s", path)
         made = build()
         if by:
             made = made.repartitionByRange(by).sortWithinPartitions(by)  # row groups can be skipped by term
@@ -78,28 +95,23 @@ class SearchEngine:
 
     def search_batch(self, queries: DataFrame, k: int = validate.DEFAULT_K) -> DataFrame:
         """Hits of all methods for ``(query_id, query)`` rows."""
-        arms = {"tfidf": lexical.search(self.index, queries, k)}
-        texts = queries.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
-        means = dense.mean_vectors(lexical.tokens_long(texts), self.word_vectors, texts, self.width)
-        arms["word2vec"] = dense.cosine_topk(self.doc_vectors, means.withColumnRenamed("doc_id", "query_id"), k)
-        if self.encoder:
-            q = embed.encode(queries, self.encoder, "query").select("query_id", "vector")
-            arms["bert"] = dense.cosine_topk(self.encoded, q, k)
-        return R.hits(R.side_by_side(**arms), self.corpus)
+        return R.hits(R.side_by_side(**{r.key: r.search(queries, k) for r in self.retrievers}), self.corpus)
 
     def search(self, query: str, k: int = validate.DEFAULT_K) -> dict:
         """One query's response: took_ms and each method's hits in rank order."""
         began, query = time.perf_counter(), validate.check(query, k)
         rows = self.search_batch(self.spark.createDataFrame([(0, query)], "query_id long, query string"), k).orderBy("method_order", "rank").collect()
         out = []
-        for _, key, label, description in R.METHODS:
+        told = {key: (label, description) for _, key, label, description in R.METHODS}
+        for key in self.methods:
+            label, description = told.get(key, (key, ""))
             own = [{"rank": r["rank"], "score": r["score"], "doc_id": r["doc_id"], "url": r["url"], "snippet": r["snippet"], "abstract": r["text"]} for r in rows if r["method"] == key]
             if own:
                 out.append({"key": key, "label": label, "description": description, "results": own})
         return {"query": query, "took_ms": round((time.perf_counter() - began) * 1000, 1), "methods": out}
 
     def status(self) -> DataFrame:
-        return C.status(self.corpus, methods=3 if self.encoder else 2)
+        return C.status(self.corpus, self.device, len(self.retrievers))
 
 
 def repl(engine: SearchEngine, read=input, write=print, k: int = 3) -> None:

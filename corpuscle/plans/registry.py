@@ -327,9 +327,10 @@ def skipgram_pairs(spark, sf_dir):
 def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three methods whose results SQL can tell too: sublinear TF-IDF, raw TF-IDF, TF-IDF of bigrams."""
     docs, q = corpus(spark, sf_dir), benchmark(spark, sf_dir)
+    index = lexical.fit(docs)
     return R.side_by_side(
-        tfidf=lexical.search(lexical.fit(docs), q, 5),
-        raw_tf=lexical.search(lexical.fit(docs, sublinear=False), q, 5),
+        tfidf=lexical.search(index, q, 5),
+        raw_tf=lexical.search(lexical.fit(docs, sublinear=False, counts=index.counts), q, 5),
         bigram=lexical.search(lexical.fit(docs, ngram_range=(2, 2)), q, 5),
     )
 
@@ -364,11 +365,18 @@ def overlap_count(spark, sf_dir):
     return R.overlap_count(_three(spark, sf_dir))
 
 
-@query()
+_RESPONSE = "methods array<struct<key string, label string, description string, results array<struct<rank int, score double, doc_id bigint, url string, snippet string, abstract string>>>>"
+
+
+@query(f"""WITH {sql_scores(ALL_ITEMS)} SELECT query_id, {_quoted(R.METHODS[0][1])} AS key, {_quoted(R.METHODS[0][2])} AS label, {_quoted(R.METHODS[0][3])} AS description,
+    rank, score, doc_id, {_quoted(X.ABSTRACT_URL)} || doc_id AS url, {_SNIPPET} AS snippet, sha256(text) AS abstract_sha FROM ranked JOIN d USING (doc_id) WHERE rank <= 5""")
 def response_json(spark, sf_dir):
+    """Each query's response as JSON, and its fields read back from that."""
     docs = corpus(spark, sf_dir)
     hits = R.hits(R.side_by_side(tfidf=lexical.search(lexical.fit(docs), benchmark(spark, sf_dir), 5)), docs)
-    return sinks.response_json(hits, R.methods(spark))
+    told = sinks.response_json(hits, R.methods(spark)).select("query_id", F.from_json("response", _RESPONSE).alias("r"))
+    methods = told.select("query_id", F.explode("r.methods").alias("m")).select("query_id", "m.key", "m.label", "m.description", F.explode("m.results").alias("h"))
+    return methods.select("query_id", "key", "label", "description", "h.rank", "h.score", "h.doc_id", "h.url", "h.snippet", F.sha2("h.abstract", 256).alias("abstract_sha"))
 
 
 @query(f"""SELECT conv_id, turn, CASE WHEN length(q) NOT BETWEEN 1 AND {validate.MAX_QUERY} THEN 'bad_length' WHEN turn NOT BETWEEN 1 AND {validate.MAX_K} THEN 'bad_k'
@@ -381,14 +389,62 @@ def request_validation(spark, sf_dir):
 _FORMS = ", ".join(f"({i}, {_quoted(s)}, {_quoted(b)})" for i, (s, b) in enumerate(X.LEMMA_RULES))
 
 
-@query(f"""WITH {sql_tok()}, vocab AS (SELECT DISTINCT term FROM tok), rules(rule, suffix, base) AS (VALUES {_FORMS}),
-    tried AS (SELECT term, rule, term[1:length(term) - length(suffix)] || base AS form FROM vocab, rules WHERE suffix(term, suffix) AND length(term) > length(suffix) + 2),
-    lemma AS (SELECT term, arg_min(form, rule) AS form FROM tried WHERE form IN (SELECT term FROM vocab) GROUP BY term)
-    SELECT coalesce(form, term) AS term, count(*) AS cnt FROM tok LEFT JOIN lemma USING (term) GROUP BY 1""".replace("suffix(term, suffix)", "ends_with(term, suffix)"))
+def sql_lemma(name: str, words: str, pos: str = "TRUE") -> str:
+    """Tables of the lemmas of ``words`` by the base forms of ``vocab``."""
+    return f"""{name}_tried AS (SELECT term, rule, term[1:length(term) - length(suffix)] || base AS form FROM {words}, rules
+        WHERE ends_with(term, suffix) AND length(term) > length(suffix) + 2 AND {pos}),
+    {name} AS (SELECT term, arg_min(form, rule) AS form FROM {name}_tried WHERE form IN (SELECT term FROM vocab) GROUP BY term)"""
+
+
+_VOCAB = f"vocab AS (SELECT DISTINCT term FROM tok), rules(rule, suffix, base) AS (VALUES {_FORMS})"
+_POS = "CASE suffix " + " ".join(f"WHEN {_quoted(s)} THEN {_quoted(p)}" for s, p in X.LEMMA_POS.items()) + " ELSE 'nv' END"
+_TAG = """CASE WHEN regexp_matches(term, '...ly$') THEN 'r' WHEN regexp_matches(term, '...ing$') THEN 'v' WHEN regexp_matches(term, '...ed$') THEN 'v'
+    WHEN regexp_matches(term, '...(ous|ful|less|able|ible|ical|ive|est)$') THEN 'a' ELSE 'n' END"""
+
+
+@query(f"WITH {sql_tok()}, {_VOCAB}, {sql_lemma('lemma', 'vocab')} SELECT coalesce(form, term) AS term, count(*) AS cnt FROM tok LEFT JOIN lemma USING (term) GROUP BY 1")
 def lemma_frequency(spark, sf_dir):
     return lexical.term_frequency(lexical.lemmas(tokens(spark, sf_dir)))
 
 
+@query(f"""WITH {sql_tok()}, {_VOCAB}, {sql_lemma('lemma', 'vocab', f'contains({_POS}, {_TAG})')}
+    SELECT coalesce(form, term) AS term, count(*) AS cnt FROM tok LEFT JOIN lemma USING (term) GROUP BY 1""")
+def lemma_pos_frequency(spark, sf_dir):
+    return lexical.term_frequency(lexical.lemmas(tokens(spark, sf_dir), tag=X.penn_tag))
+
+
+@query(f"""WITH {sql_tok()}, {_VOCAB}, {sql_lemma('lemma', 'vocab')}, queries AS ({ALL_ITEMS}),
+    counts AS (SELECT doc_id, coalesce(form, term) AS term, count(*) AS tf FROM tok LEFT JOIN lemma USING (term) GROUP BY ALL),
+    terms AS (SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + count(*))) + 1.0 AS idf FROM counts GROUP BY term),
+    weights AS (SELECT doc_id, term, (1.0 + ln(tf)) * idf AS w FROM counts JOIN terms USING (term)),
+    norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM weights GROUP BY doc_id),
+    qtok AS (SELECT query_id, unnest(terms) AS term FROM (SELECT query_id, {sql_tokens("query")} AS terms FROM queries)),
+    qwords AS (SELECT DISTINCT term FROM qtok), {sql_lemma('qlemma', 'qwords')},
+    qcounts AS (SELECT query_id, coalesce(form, term) AS term, count(*) AS tf FROM qtok LEFT JOIN qlemma USING (term) GROUP BY ALL),
+    qw AS (SELECT query_id, term, (1.0 + ln(tf)) * idf AS qw FROM qcounts JOIN terms USING (term)),
+    qnorms AS (SELECT query_id, sqrt(sum(qw * qw)) AS qnorm FROM qw GROUP BY query_id),
+    shared AS (SELECT query_id, doc_id, round(sum(w * qw) / (any_value(norm) * any_value(qnorm)), 6) AS score
+        FROM weights JOIN qw USING (term) JOIN norms USING (doc_id) JOIN qnorms USING (query_id) GROUP BY query_id, doc_id),
+    scored AS (SELECT query_id, doc_id, coalesce(score, 0.0) AS score FROM (SELECT query_id, doc_id FROM queries, d) LEFT JOIN shared USING (query_id, doc_id))
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM scored) WHERE rank <= 5""")
+def lemma_search_topk(spark, sf_dir):
+    return lexical.search(lexical.fit(corpus(spark, sf_dir), lemmatise=True), benchmark(spark, sf_dir), 5)
+
+
+@query(f"""WITH {D}, w AS (SELECT 'w' || vec_id AS word, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    k AS (SELECT doc_id, unnest(range(1 + doc_id % 7)) AS j FROM d), m AS (SELECT k.doc_id, v FROM k JOIN w ON w.word = 'w' || ((k.doc_id + k.j * 13) % 400)),
+    x AS (SELECT doc_id, unnest(range(len(v)))::INT AS dim, unnest(v) AS x FROM m)
+    SELECT doc_id, dim, round(CAST(CAST(avg(x) AS FLOAT) AS DOUBLE), 4) + 0.0 AS x FROM x GROUP BY doc_id, dim""")
+def mean_vectors(spark, sf_dir):
+    """Means of stored vectors: each document has some of the words ``w0`` to ``w399``."""
+    docs = corpus(spark, sf_dir).select("doc_id")
+    said = docs.select("doc_id", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 7).cast("int"))).alias("pos"))
+    said = said.withColumn("term", F.concat(F.lit("w"), ((F.col("doc_id") + F.col("pos") * 13) % 400).cast("string")))
+    words = embeddings(spark, sf_dir).select(F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), F.col("embedding").alias("vector"))
+    made = dense.mean_vectors(said, words, docs, 64).select("doc_id", F.posexplode("vector").alias("dim", "x"))
+    return made.withColumn("x", F.round(F.col("x").cast("double"), 4) + F.lit(0.0))
+
+
 def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = corpus(spark, sf_dir)
     toks = lexical.tokens_long(docs)
@@ -410,7 +466,19 @@ def word2vec_neighbours(spark, sf_dir):
     return dense.neighbours(vectors, words)
 
 
-@query()
+def _sql_encoded(name: str, rows: str) -> str:
+    """Vectors of the hashing encoder in long form: 64 places, a word counts 1 or -1 at one of them."""
+    plain = f"trim(regexp_replace(regexp_replace(coalesce(t, ''), {_quoted(X.TAG)}, ' ', 'g'), {_quoted(X.BLANKS)}, ' ', 'g'))"
+    return f"""{name}_words AS (SELECT id, ('0x' || md5(w)[1:8])::BIGINT AS h FROM (SELECT id, unnest(string_split(lower({plain}), ' ')) AS w FROM ({rows})) WHERE w <> ''),
+    {name} AS (SELECT id, h % 64 AS dim, sum(CASE WHEN h >= 2147483648 THEN 1.0 ELSE -1.0 END) AS x FROM {name}_words GROUP BY ALL),
+    {name}_norm AS (SELECT id, sqrt(sum(x * x)) AS norm FROM {name} GROUP BY id)"""
+
+
+@query(f"""WITH {D}, {_sql_encoded('a', 'SELECT doc_id AS id, text AS t FROM d')}, {_sql_encoded('q', 'SELECT item_id AS id, text AS t FROM benchmark')},
+    s AS (SELECT q.id AS query_id, a.id AS doc_id, sum(a.x * q.x) AS dot FROM a JOIN q USING (dim) GROUP BY ALL),
+    c AS (SELECT item_id AS query_id, p.doc_id, round(coalesce(dot / nullif(a_norm.norm * q_norm.norm, 0), 0.0), 6) + 0.0 AS score FROM (SELECT item_id, d.doc_id FROM benchmark, d) AS p
+        LEFT JOIN s ON s.query_id = item_id AND s.doc_id = p.doc_id LEFT JOIN a_norm ON a_norm.id = p.doc_id LEFT JOIN q_norm ON q_norm.id = item_id)
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM c) WHERE rank <= 5""")
 def encoder_search(spark, sf_dir):
     """With the hashing stand-in: a sentence model needs its weights."""
     encoder = embed.HashingEncoder(64)

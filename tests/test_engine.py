@@ -1,13 +1,18 @@
 import hashlib
 import json
+import sys
+import threading
+import types
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.operators import corpus as C
-from corpuscle.operators import embed
+from corpuscle.operators import embed, lexical
 from corpuscle.operators import rank as R
-from corpuscle.plans import validate
+from corpuscle.plans import service, validate
 from corpuscle.plans.engine import Options, SearchEngine, repl
 from corpuscle.sources import readers, sinks
 from corpuscle.streaming import queries as S
@@ -41,6 +46,80 @@ def test_cache_is_reused_and_mended(spark, engine):
     assert other.root != engine.root
 
 
+def test_keys_tell_vectors_and_encoders_apart(spark, tmp_path):
+    docs, cache = readers.corpus_of(spark, TEXTS), str(tmp_path)
+    tables = [spark.createDataFrame(rows, "word string, vector array<float>") for rows in ([("graph", [1.0, 0.0]), ("speech", [0.0, 1.0])], [("graph", [0.5, 0.5, 0.5])])]
+    first, second = (SearchEngine(docs, cache, word_vectors=t) for t in tables)
+    assert first.root != second.root and (first.width, second.width) == (2, 3)
+    assert [r["vector"] for r in second.word_vectors.collect()] == [[0.5, 0.5, 0.5]]
+    assert SearchEngine(docs, cache, word_vectors=tables[0].repartition(2)).root == first.root
+    named = [embed.SentenceTransformerEncoder(n, 4) for n in "ab"] + [embed.SentenceTransformerEncoder("a", 5), embed.HashingEncoder(4), None]
+    assert len({embed.encoder_key(e) for e in named}) == 5
+    broken, n = Path(second.root) / "terms.parquet" / "_SUCCESS", second.index.terms.count()
+    broken.unlink()
+    assert SearchEngine(docs, cache, word_vectors=tables[1]).index.terms.count() == n > 0 and broken.exists()
+
+
+class FakeSentenceModel:
+    def __init__(self, name):
+        self.name = name
+
+    def encode(self, texts, batch_size, convert_to_numpy, show_progress_bar):
+        return np.array([[len(t), t.count(" "), 1] for t in texts], dtype=np.float32)
+
+
+def test_sentence_model(spark, tmp_path, monkeypatch):
+    """The encoder of the library, with a model that stands in for one with weights; loaded once, in batches of 16."""
+    encoder = embed.SentenceTransformerEncoder("fake", 3)
+    encoder._model = FakeSentenceModel("fake")
+    assert encoder.encode(["a b"]).tolist() == [[3, 1, 1]]
+    assert encoder.__getstate__() == {"name": "fake", "dim": 3, "_model": None}
+    module = types.ModuleType("sentence_transformers")
+    module.SentenceTransformer = FakeSentenceModel
+    monkeypatch.setitem(sys.modules, "sentence_transformers", module)
+    fresh = embed.SentenceTransformerEncoder("fake", 3)
+    assert fresh.encode(["abc"]).tolist() == [[3, 0, 1]] and fresh._model.name == "fake"
+
+
+class Longest:
+    """A retriever of one's own: the longest texts, whatever is asked."""
+
+    key = "longest"
+
+    def __init__(self, corpus):
+        self.corpus = corpus
+
+    def search(self, queries, k):
+        rows = queries.select("query_id").join(self.corpus.select("doc_id", F.length("text").cast("double").alias("score")), how="cross")
+        return lexical.rank(rows, k)
+
+
+def test_further_retrievers_and_service(spark, tmp_path):
+    docs = readers.corpus_of(spark, TEXTS)
+    vectors = spark.createDataFrame([("graph", [1.0, 0.0])], "word string, vector array<float>")
+    engine = SearchEngine(docs, str(tmp_path), word_vectors=vectors, more=[Longest(docs.where("text is not null"))], device="cuda")
+    assert engine.methods == ["tfidf", "word2vec", "longest"]
+    assert engine.status().first().asDict() == {"status": "ok", "corpus_size": 3, "device": "cuda", "n_methods": 3}
+    ready = []
+    server = service.serve(lambda: ready[0] if ready else None, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    with pytest.raises(RuntimeError, match="starting up"):
+        service.ask(base, "/api/health")
+    ready.append(engine)
+    assert service.ask(base, "/api/health")["methods"] == engine.methods
+    out = service.ask(base, "/api/search", {"query": " graph ", "k": 2})
+    assert out["query"] == "graph" and [m["key"] for m in out["methods"]] == engine.methods
+    assert [len(m["results"]) for m in out["methods"]] == [2, 2, 2]
+    for body in ({"query": "x" * 501}, {"query": "a", "k": 21}, {"k": 1}, {"query": 5}, {"query": ""}, []):
+        assert service.answer(engine, "POST", "/api/search", json.dumps(body).encode())[0] == 422
+    assert service.answer(engine, "POST", "/api/search", b"{")[0] == 422
+    assert service.answer(engine, "POST", "/api/search", b'{"query": "  "}')[0] == 400
+    with pytest.raises(RuntimeError, match="Not Found"):
+        service.ask(base, "/elsewhere")
+    server.shutdown()
+
+
 def test_overlap_and_json(spark, engine):
     q = spark.createDataFrame([(0, "graph network"), (1, "speech")], "query_id long, query string")
     hits = engine.search_batch(q, 2)
@@ -75,6 +154,11 @@ def test_corpus(spark):
     idx = C.with_doc_idx(spark.range(100, 200).toDF("doc_id").repartition(7)).collect()
     assert all(r["doc_idx"] == r["doc_id"] - 100 for r in idx)
     assert C.dedup_first(docs.where("false")).count() == 0
+    wide = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 12).alias("text")).repartition(9)
+    got = C.with_doc_idx(wide).select("doc_id", "doc_idx", F.length("text").alias("n")).orderBy("doc_id").collect()
+    assert [r["doc_idx"] for r in got] == list(range(20_000)) and {r["n"] for r in got} == {1536}
+    with_nulls = spark.createDataFrame([(None, "a"), (2, "b"), (2, "c"), (1, "d")], "doc_id long, text string")
+    assert sorted((r["doc_idx"], r["doc_id"] or 0) for r in C.with_doc_idx(with_nulls).collect()) == [(0, 0), (1, 1), (2, 2), (3, 2)]
 
 
 def test_sources(spark, tmp_path):

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from corpuscle.functions import text as X
 from corpuscle.operators import lexical
 from corpuscle.plans.engine import Options, SearchEngine
 from corpuscle.sources.readers import corpus_of
@@ -76,3 +77,41 @@ def test_search_with_inflected_words(spark, tmp_path):
     assert found(spark, unseen, "networks", 1) == [(0, 1.0)]
     engine = SearchEngine(corpus_of(spark, texts), str(tmp_path), Options(lemmatise=True), word_vectors=spark.createDataFrame([("network", [1.0])], "word string, vector array<float>"))
     assert found(spark, engine.index, "networks", 1) == found(spark, engine.index, "network", 1)
+
+
+def test_own_tokeniser_and_stop_words(spark):
+    """The same for corpus and queries."""
+    docs = corpus_of(spark, ["a-b c-d", "c-d e"])
+    own = lexical.fit(docs, tokenise=lambda t: F.split(F.upper(t), " "))
+    assert {r["term"] for r in own.terms.collect()} == {"A-B", "C-D", "E"}
+    assert found(spark, own, "e", 1)[0][0] == 1 and found(spark, own, "a b", 1) == [(0, 0.0)]
+    stopped = lexical.fit(corpus_of(spark, MICRO), stop_words=["graph"])
+    assert "graph" not in {r["term"] for r in stopped.terms.collect()} and found(spark, stopped, "graph", 1) == [(0, 0.0)]
+
+
+def test_counts_are_used_again(spark, index):
+    again = lexical.fit(corpus_of(spark, MICRO), sublinear=False, counts=index.counts)
+    new = lexical.fit(corpus_of(spark, MICRO), sublinear=False)
+    assert sorted(map(tuple, again.weights.collect())) == sorted(map(tuple, new.weights.collect()))
+
+
+def test_dense_rows(spark, index, monkeypatch):
+    rows = {r["doc_id"]: r["vector"] for r in lexical.dense_rows(index).collect()}
+    terms = sorted(r["term"] for r in index.terms.collect())
+    long = {(r["doc_id"], r["term"]): r["w"] for r in index.weights.collect()}
+    assert rows == {d: [long.get((d, t), 0.0) for t in terms] for d in range(3)}
+    monkeypatch.setattr(lexical, "DENSE_TERMS", 2)
+    with pytest.raises(ValueError):
+        lexical.dense_rows(index)
+
+
+def test_lemmas_by_part_of_speech(spark):
+    words = spark.createDataFrame([(w,) for w in "training train trains quickly quick studies study best be".split()], "term string")
+    assert sorted(r["term"] for r in lexical.lemmas(words, tag=X.penn_tag).collect()) == sorted("train train train quickly quick study study best be".split())
+    nouns = lexical.lemmas(words, tag=lambda w: F.lit("NN"))
+    assert "training" in {r["term"] for r in nouns.collect()}  # a noun loses no -ing
+
+
+def test_formats(spark):
+    row = spark.range(1).select(X.thousands(F.lit(2538)), X.plural(F.lit(1), "paper"), X.plural(F.lit(2538), "paper"), X.badge(F.lit("cpu"))).first()
+    assert tuple(row) == ("2,538", "1 paper", "2,538 papers", "CPU")
