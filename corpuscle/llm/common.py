@@ -1,15 +1,17 @@
-"""What the training-data operators share: names, row keys and the shared folder."""
+"""What the training-data operators share: names, row keys, joins of hot keys and the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuscle.session import drop, shared_dir, written
+
+__all__ = ["col", "drop", "fresh", "hot_join", "let", "row_key", "rows_of", "shared_dir", "table", "written"]
+
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """One column name per given name that no column of ``df`` has (Spark compares them without case)."""
@@ -35,23 +37,6 @@ def row_key(df: DataFrame) -> Column:
     return F.xxhash64(*[col(c) for c in able]) if able else F.lit(0).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary one; on a cluster, whose machines share no such folder,
-    ValueError is raised.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        if not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="corpuscle-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,23 +45,6 @@ def rows_of(spark: SparkSession, rows: list[tuple], schema: str | T.StructType)
     return spark.createDataFrame(rows, schema)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: its lineage ends there and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/corpuscle/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table._corpuscle_path = path
-    return table
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables that ``written`` made, once all that is still to be read from them has been written itself."""
-    for table in tables:
-        spark, path = table.sparkSession, table._corpuscle_path
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 #: A key counts as hot beyond this share of all rows, so there are fewer hot keys than HOT_KEYS.
 HOT_KEYS, LIGHT = 100_000, 1_000
 
