@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 PACKAGE = Path(__file__).resolve().parent
 #: Python gets rows in batches of so many bytes: Spark's own bound (64 MB) takes several times that in a task.
 BATCH, BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20, "67108864b"
+#: Whether a query's shuffle files are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -50,10 +52,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def save(df: DataFrame, path: str) -> None:
+    """Writes ``df`` as a Parquet table. Its shuffle files go when it is written: the table takes their place.
+
+    Spark deletes them when the driver's memory is collected, which may be much later. The session's own setting
+    holds again afterwards.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: its lineage ends there and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/corpuscle/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    save(df, path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._corpuscle_path = path
     return table

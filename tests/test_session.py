@@ -1,3 +1,4 @@
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -34,6 +35,23 @@ def test_written_and_dropped(spark):
         spark.read.parquet(table._corpuscle_path)
 
 
+def test_saving_leaves_no_shuffle_files(spark, tmp_path):
+    """And the session's own setting holds again, also after a failure."""
+    context = spark.sparkContext._jsc.sc()
+    shuffles = lambda: context.env().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    before, setting = shuffles(), spark.conf.get(session.CLEANUP)
+    session.save(spark.range(1000).repartition(3, "id"), str(tmp_path / "t"))
+    for _ in range(50):  # files go in the background
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and spark.conf.get(session.CLEANUP) == setting
+    with pytest.raises(Exception, match="(?i)exist"):
+        session.save(spark.range(1), str(tmp_path / "t"))
+    assert spark.conf.get(session.CLEANUP) == setting
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1000
+
+
 def test_batches_are_bounded_unless_the_session_says_so(spark):
     before = spark.conf.get(session.BATCH)
     try:
