@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.session import drop, shared_dir, written
+from corpuscle.session import drop, save, shared_dir, written
 
-__all__ = ["col", "drop", "fresh", "hot_join", "let", "row_key", "rows_of", "shared_dir", "table", "written"]
+__all__ = ["col", "drop", "fresh", "hot_join", "let", "row_key", "rows_of", "save", "shared_dir", "table", "written"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
