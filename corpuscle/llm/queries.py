@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, gif, langid, licenses, mixing, quality, sharding, simhash, warc
+from . import chat, decontaminate, gif, langid, licenses, merkle, mixing, quality, sharding, simhash, warc
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(table(spark, sf_dir, "conversations"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,6 +65,7 @@ QUERIES = {
         op8_warc,
         op9_quality,
         op10_chat_format,
+        op12_merkle_manifest,
     )
 }
 
@@ -72,6 +77,23 @@ _MANDATORY = ", ".join(f"({t}, '{p}')" for t, (_, _, phrases) in enumerate(licen
 _PHRASES = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
 _HEX = "(strpos('0123456789abcdef', sha[{}]) - 1)"
 
+#: CRC-32 of an ASCII text, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda c: list_transform(range(8), lambda i: (ascii(c) >> i::INT) & 1)))),
+    lambda crc, bit: xor(crc >> 1, (xor(crc, bit) & 1) * 3988292384)), 4294967295)"""
+
+
+def _level(nodes: str) -> str:
+    """The runs above a table of nodes ``(lvl, lang, pos, h, n)``."""
+    return f"SELECT lvl + 1 AS lvl, lang, pos // 8 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h, any_value((n + 7) // 8) AS n FROM {nodes} WHERE n > 1 GROUP BY lvl, lang, pos // 8"
+
+
+def _leaf(text: str) -> str:
+    part = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+    return f"sha256({' || '.join(part.format(text if c == 'text' else c) for c in merkle.COLUMNS)})"
+
+
+_LOWERED = f"CASE WHEN {_CRC32.format('doc_id::VARCHAR')} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+
 ORACLE_SQL: dict[str, str] = {
     "op7_license_scan": rf"""
         WITH lists AS (
@@ -129,6 +151,35 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id <> top THEN top END AS refers_to
         FROM p JOIN top USING (payload)
     """,
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS MATERIALIZED (
+            SELECT doc_id, lang, h, claim, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+            FROM (SELECT doc_id, lang, {_leaf("text")} AS h, {_leaf("lowered")} AS claim FROM (SELECT *, {_LOWERED} AS lowered FROM documents))
+        ), inner_nodes AS (
+            SELECT 0 AS lvl, lang, pos, h, n FROM leaves UNION ALL {_level("inner_nodes")}
+        ), subroots AS MATERIALIZED (
+            SELECT lang, h, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM inner_nodes WHERE n = 1
+        ), outer_nodes AS (
+            SELECT 0 AS lvl, NULL::VARCHAR AS lang, pos, h, n FROM subroots UNION ALL {_level("outer_nodes")}
+        ), inner_runs AS MATERIALIZED (
+            SELECT lvl, lang, pos // 8 AS run, string_agg(h, '' ORDER BY pos) AS joined FROM inner_nodes WHERE n > 1 GROUP BY ALL
+        ), outer_runs AS MATERIALIZED (
+            SELECT lvl, pos // 8 AS run, string_agg(h, '' ORDER BY pos) AS joined FROM outer_nodes WHERE n > 1 GROUP BY ALL
+        ), climbed AS (
+            SELECT 0 AS lvl, doc_id, lang, pos AS start, pos, h AS leaf, claim AS folded, '' AS siblings FROM leaves
+            UNION ALL
+            SELECT c.lvl + 1, doc_id, c.lang, start, pos // 8, leaf, sha256(joined[:64 * (pos % 8)] || folded || joined[64 * (pos % 8) + 65:]), siblings || joined[:64 * (pos % 8)] || joined[64 * (pos % 8) + 65:]
+            FROM climbed c JOIN inner_runs r ON r.lvl = c.lvl AND r.lang IS NOT DISTINCT FROM c.lang AND r.run = pos // 8
+        ), topped AS (
+            SELECT 0 AS lvl, doc_id, c.lang, start, s.pos, leaf, folded, siblings, s.h AS subroot
+            FROM (SELECT *, max(lvl) OVER (PARTITION BY lang) AS top FROM climbed) c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE lvl = top
+            UNION ALL
+            SELECT t.lvl + 1, doc_id, lang, start, pos // 8, leaf, sha256(joined[:64 * (pos % 8)] || folded || joined[64 * (pos % 8) + 65:]), siblings || joined[:64 * (pos % 8)] || joined[64 * (pos % 8) + 65:], subroot
+            FROM topped t JOIN outer_runs r ON r.lvl = t.lvl AND r.run = pos // 8
+        )
+        SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = root AS verified
+        FROM (SELECT *, max(lvl) OVER () AS top FROM topped) CROSS JOIN (SELECT h AS root FROM outer_nodes WHERE n = 1) WHERE lvl = top
+    """,
     "op10_chat_format": f"""
         WITH rows AS (
             SELECT conv_id, probe, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
