@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, gif, langid, licenses, merkle, mixing, quality, sharding, simhash, warc
+from . import chat, collide, decontaminate, gif, langid, licenses, merkle, mixing, quality, repair, sharding, simhash, warc
 from .common import table
 
 
@@ -48,10 +48,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(table(spark, sf_dir, "conversations"))
 
 
+def op11_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collide.neighbour_digest(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,7 +73,9 @@ QUERIES = {
         op8_warc,
         op9_quality,
         op10_chat_format,
+        op11_collision_search,
         op12_merkle_manifest,
+        op13_conversation_repair,
     )
 }
 
@@ -94,6 +104,39 @@ def _leaf(text: str) -> str:
 
 _LOWERED = f"CASE WHEN {_CRC32.format('doc_id::VARCHAR')} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
 
+_SPACE = r"\x20\x09-\x0D"
+
+
+def _edit(state: str, cost: str, letter: str, line: str = "NULL") -> str:
+    """The best way to a state ``{c, a, t}`` and one edit more; ``line`` is what it adds to the repaired text."""
+    text = f"{state}.t" if line == "NULL" else f"{state}.t || {line} || chr(10)"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {text}}} END"
+
+
+def _closed(rows: str) -> str:
+    """Ways that end by inserting: a user row after nothing, a system or an assistant row; then an assistant row."""
+    user = ", ".join(_edit(s, "3", "I", "'user:'") for s in ("n", "s", "a"))
+    return f"""SELECT conv_id, i, total, n, s, u, least(a, {_edit("u", "3", "I", "'assistant:'")}) AS a
+        FROM (SELECT conv_id, i, total, n, s, least(u, {user}) AS u, a FROM ({rows}))"""
+
+
+def _stepped() -> str:
+    """Ways over one row more, which is dropped, kept where its role may follow, or given the role that may."""
+    kept, cut = "role || ':' || text", "3 * (fault = 'truncated')::BIGINT"
+
+    def of(state: str, sources: tuple[str, ...], initial: str, name: str | None) -> str:
+        ways = [_edit(state, "4", "D")]
+        for source in sources:
+            ways.append(f"CASE WHEN may AND initial = '{initial}' THEN {_edit(source, cut, 'K', kept)} END")
+            if name:
+                ways.append(f"CASE WHEN may THEN {_edit(source, f'3 + {cut}', 'R', f"'{name}:' || text")} END")
+        return f"least({', '.join(ways)}) AS {state}"
+
+    return f"""SELECT d.conv_id, d.i + 1 AS i, total, {_edit("n", "4", "D")} AS n, {of("s", ("n",), "s", None)},
+        {of("u", ("n", "s", "a"), "u", "user")}, {of("a", ("u",), "a", "assistant")}
+        FROM ways d JOIN rows r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.i = d.i + 1"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op7_license_scan": rf"""
         WITH lists AS (
@@ -180,6 +223,38 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = root AS verified
         FROM (SELECT *, max(lvl) OVER () AS top FROM topped) CROSS JOIN (SELECT h AS root FROM outer_nodes WHERE n = 1) WHERE lvl = top
     """,
+    "op13_conversation_repair": rf"""
+        WITH RECURSIVE coded AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   {_CRC32.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS code FROM conversations
+        ), hurt AS (
+            SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+                   CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM coded, (VALUES (1), (2)) AS copy(k) WHERE code <> 0 AND (k = 1 OR code = 3)
+        ), rows AS MATERIALIZED (
+            SELECT *, fault NOT IN ('blank', 'duplicate') AS may FROM (
+                SELECT conv_id, turn, role, text, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS initial,
+                       i, CASE WHEN NOT regexp_matches(text, '[^{_SPACE}]') THEN 'blank'
+                            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                            WHEN NOT regexp_matches(text, '[.!?][{_SPACE}]*$') THEN 'truncated' ELSE '' END AS fault
+                FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt))
+        ), told AS (
+            SELECT conv_id, count(*) AS total, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM rows) GROUP BY conv_id
+        ), ways AS (
+            {_closed("SELECT conv_id, 0::BIGINT AS i, total, {'c': 0::BIGINT, 'a': '', 't': ''} AS n, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS u, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS a FROM told")}
+            UNION ALL
+            {_closed(_stepped())}
+        ), best AS (
+            SELECT conv_id, least(n, a) AS w FROM ways WHERE i = total
+        )
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(w.c, 0) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(w.t[:-2], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+    """,
     "op10_chat_format": f"""
         WITH rows AS (
             SELECT conv_id, probe, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
