@@ -11,6 +11,7 @@ which DuckDB folds every leaf up to the root.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,10 +22,8 @@ from corpuscle.session import ship
 
 from .common import col, drop, written
 
+#: Children of a node; levels that a bucket has.
 FANOUT, INNER = 8, 4
-BUCKET = FANOUT**INNER
-#: Leaves that DuckDB gets at a time: one full bucket, or many small ones.
-CHUNK = BUCKET
 #: Offsets, proofs of groups and outer proofs are broadcast up to so many rows; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 5_000
 DIGEST = 64
@@ -67,14 +66,12 @@ _ITEMS = "array<struct<pos bigint, id string, leaf binary, claim binary>>"
 _PATH = "array<struct<joined string, place int>>"
 
 
-def _levels(total: str = "n") -> str:
-    """CTEs l0..l4 of nodes and r0..r3 of joined runs; a group's single node stays as it is."""
+def _levels(inner: int) -> str:
+    """CTEs l0, l1, ... of nodes and r0, r1, ... of joined runs; a group's single node stays as it is."""
     out = []
-    for k in range(INNER):
-        out.append(
-            f"r{k} AS (SELECT b, pos // {FANOUT} AS run, {total}, {total} > {FANOUT**k} AS live, string_agg(h, '' ORDER BY pos) AS joined FROM l{k} GROUP BY b, pos // {FANOUT}, {total})"
-        )
-        out.append(f"l{k + 1} AS (SELECT b, run AS pos, {total}, CASE WHEN live THEN sha256(joined) ELSE joined END AS h FROM r{k})")
+    for k in range(inner):
+        out.append(f"r{k} AS (SELECT b, pos // {FANOUT} AS run, n, n > {FANOUT**k} AS live, string_agg(h, '' ORDER BY pos) AS joined FROM l{k} GROUP BY b, pos // {FANOUT}, n)")
+        out.append(f"l{k + 1} AS (SELECT b, run AS pos, n, CASE WHEN live THEN sha256(joined) ELSE joined END AS h FROM r{k})")
     return ", ".join(out)
 
 
@@ -84,12 +81,12 @@ def _session():
     return duckdb.connect(":memory:", config={"threads": 1, "temp_directory": ""})
 
 
-def _chunks(batch: pa.RecordBatch, items: str) -> Iterator[pa.Table]:
-    """The batch's rows in tables of some CHUNK leaves, at least a bucket each."""
-    sizes = [len(x) if x is not None else 0 for x in batch.column(items)]
+def _chunks(batch: pa.RecordBatch, leaves: int) -> Iterator[pa.Table]:
+    """The batch's rows in tables of one bucket, or of several that have ``leaves`` together at most."""
+    sizes = [len(x) for x in batch.column("items")]
     start = held = 0
     for i, size in enumerate(sizes):
-        if i > start and held + size > CHUNK:
+        if i > start and held + size > leaves:
             yield pa.Table.from_batches([batch.slice(start, i - start)])
             start, held = i, 0
         held += size
@@ -97,28 +94,28 @@ def _chunks(batch: pa.RecordBatch, items: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches([batch.slice(start)])
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _roots(inner: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     con = _session()
     for batch in batches:
-        for chunk in _chunks(batch, "items"):
+        for chunk in _chunks(batch, FANOUT**inner):
             con.register("chunk", chunk)
             made = con.sql(f"""
                 WITH told AS (SELECT row_number() OVER () AS b, grp, bucket, n, items FROM chunk),
-                l0 AS (SELECT b, n, i.pos AS pos, lower(hex(i.leaf)) AS h FROM (SELECT b, n, unnest(items) AS i FROM told)), {_levels()}
-                SELECT grp, bucket, h FROM l{INNER} JOIN told USING (b)""").to_arrow_table()
+                l0 AS (SELECT b, n, i.pos AS pos, lower(hex(i.leaf)) AS h FROM (SELECT b, n, unnest(items) AS i FROM told)), {_levels(inner)}
+                SELECT grp, bucket, h FROM l{inner} JOIN told USING (b)""").to_arrow_table()
             con.unregister("chunk")
             yield from made.to_batches()
 
 
-def _proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _proofs(inner: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     con = _session()
     for batch in batches:
-        for chunk in _chunks(batch, "items"):
+        for chunk in _chunks(batch, FANOUT**inner):
             con.register("chunk", chunk)
             outer = max((len(x) for x in chunk.column("path") if x.is_valid), default=0)
-            steps = [f"""s0 AS (SELECT told.b, path, pos // {BUCKET} * {BUCKET // FANOUT} + (pos % {BUCKET}) // {FANOUT} AS run, pos % {FANOUT} AS place, id, h AS leaf, claim AS folded, '' AS siblings
+            steps = [f"""s0 AS (SELECT told.b, path, pos // {FANOUT} AS run, pos % {FANOUT} AS place, id, h AS leaf, claim AS folded, '' AS siblings
                 FROM told JOIN l0 USING (b))"""]
-            for k in range(INNER):
+            for k in range(inner):
                 left, right = f"substr(joined, 1, {DIGEST} * place::INT)", f"substr(joined, {DIGEST} * place::INT + {DIGEST + 1})"
                 steps.append(f"""s{k + 1} AS (SELECT b, path, run // {FANOUT} AS run, run % {FANOUT} AS place, id, leaf,
                     CASE WHEN live THEN sha256({left} || folded || {right}) ELSE folded END AS folded,
@@ -126,15 +123,15 @@ def _proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     FROM s{k} JOIN r{k} USING (b, run))""")
             for k in range(outer):
                 left, right = (f"substr(path[{k + 1}].joined, {part}" for part in (f"1, {DIGEST} * path[{k + 1}].place)", f"{DIGEST} * path[{k + 1}].place + {DIGEST + 1})"))
-                at = INNER + k
+                at = inner + k
                 steps.append(f"""s{at + 1} AS (SELECT b, path, id, leaf,
                     CASE WHEN len(path) > {k} THEN sha256({left} || folded || {right}) ELSE folded END AS folded,
                     CASE WHEN len(path) > {k} THEN siblings || {left} || {right} ELSE siblings END AS siblings FROM s{at})""")
             made = con.sql(f"""
                 WITH told AS (SELECT row_number() OVER () AS b, n, items, coalesce(path, []) AS path, subroot, root FROM chunk),
                 l0 AS (SELECT b, n, i.pos AS pos, i.id AS id, lower(hex(i.leaf)) AS h, lower(hex(i.claim)) AS claim FROM (SELECT b, n, unnest(items) AS i FROM told)),
-                {_levels()}, {", ".join(steps)}
-                SELECT id, leaf, subroot, root, siblings, sha256(siblings) AS proof_sha256, folded AS folded_root FROM s{INNER + outer} JOIN told USING (b)""").to_arrow_table()
+                {_levels(inner)}, {", ".join(steps)}
+                SELECT id, leaf, subroot, root, siblings, sha256(siblings) AS proof_sha256, folded AS folded_root FROM s{inner + outer} JOIN told USING (b)""").to_arrow_table()
             con.unregister("chunk")
             yield from made.to_batches()
 
@@ -163,21 +160,22 @@ def _combine(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return levels[-1].select("grp", "h"), paths
 
 
-def prove(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+def prove(leaves: DataFrame, inner: int = INNER) -> tuple[DataFrame, DataFrame]:
     """Of ``(id, grp, leaf, claim)``, digests as binary, ``grp`` a text by whose bytes groups are ordered:
 
     ``(id, leaf, subroot, root, siblings, proof_sha256, folded_root)`` of each row, and the manifest ``(grp, n, subroot,
     root)``. Rows of a group are ordered by id (null first), then by leaf. ``siblings`` is the proof: the digests beside
-    the leaf's way to the root, in order, level by level; ``folded_root`` is what ``claim`` leads to with them.
+    the leaf's way to the root, in order, level by level; ``folded_root`` is what ``claim`` leads to with them. A bucket has
+    ``FANOUT ** inner`` leaves.
     """
     ship(leaves.sparkSession)
     placed, made = numbered(leaves, "grp", ["id", "leaf"])
     item = F.struct("pos", F.col("id").cast("string").alias("id"), "leaf", "claim")
-    grouped = placed.groupBy("grp", F.expr(f"pos div {BUCKET}").alias("bucket"), "n").agg(F.collect_list(item).cast(_ITEMS).alias("items"))
+    grouped = placed.groupBy("grp", F.expr(f"pos div {FANOUT**inner}").alias("bucket"), "n").agg(F.collect_list(item).cast(_ITEMS).alias("items"))
     buckets = written(grouped, "buckets")
     drop(*made)
-    nodes = buckets.select("grp", "bucket", "n", "items").mapInArrow(_roots, "grp string, bucket long, h string")
-    subroots, inner = _combine(nodes.withColumnRenamed("bucket", "node"))
+    nodes = buckets.select("grp", "bucket", "n", "items").mapInArrow(partial(_roots, inner), "grp string, bucket long, h string")
+    subroots, within = _combine(nodes.withColumnRenamed("bucket", "node"))
     subroots = subroots.withColumnRenamed("grp", "name").withColumn("grp", F.lit(""))
     placed, made = numbered(subroots, "grp", ["name"])
     placed_roots = written(placed.select("grp", "name", F.col("pos").alias("node"), "h"), "subroots")
@@ -186,10 +184,10 @@ def prove(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     root = roots.select(F.col("h").alias("root"))  # a row
     tops = placed_roots.join(few(outer), ["grp", "node"]).select(F.col("name").alias("grp"), F.col("h").alias("subroot"), F.col("path").alias("above"))
     tops = written(tops.join(F.broadcast(root), how="cross"), "tops")
-    paths = inner.join(few(tops), "grp").select("grp", F.col("node").alias("bucket"), F.concat("path", "above").alias("path"), "subroot", "root")
+    paths = within.join(few(tops), "grp").select("grp", F.col("node").alias("bucket"), F.concat("path", "above").alias("path"), "subroot", "root")
     paths = written(paths, "paths")
     made = buckets.join(few(paths), ["grp", "bucket"]).select("items", "n", "path", "subroot", "root")
-    proofs = made.mapInArrow(_proofs, "id string, leaf string, subroot string, root string, siblings string, proof_sha256 string, folded_root string")
+    proofs = made.mapInArrow(partial(_proofs, inner), "id string, leaf string, subroot string, root string, siblings string, proof_sha256 string, folded_root string")
     sizes = buckets.groupBy("grp").agg(F.max("n").alias("n"))
     return proofs.withColumn("id", F.col("id").cast(leaves.schema["id"].dataType)), sizes.join(tops.select("grp", "subroot", "root"), "grp")
 
@@ -209,7 +207,7 @@ def leaves_of(docs: DataFrame, key: str, group: str, columns: list[str], claimed
 COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
-def merkle_digest(docs: DataFrame) -> DataFrame:
+def merkle_digest(docs: DataFrame, inner: int = INNER) -> DataFrame:
     """The documents' proofs by language, and which of them hold after a third of the texts was put in lower case.
 
     ``(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified)``, a row per row. Nulls in any column are
@@ -222,7 +220,7 @@ def merkle_digest(docs: DataFrame) -> DataFrame:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     tampered = {"text": F.when(hit, F.translate("text", upper, lower)).otherwise(F.col("text"))}
     leaves = leaves_of(docs.select(*COLUMNS), "doc_id", "lang", COLUMNS, tampered)
-    proofs, _ = prove(leaves)
+    proofs, _ = prove(leaves, inner)
     drop(leaves)
     out = proofs.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root")
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -102,7 +102,7 @@ def _leaf(text: str) -> str:
     return f"sha256({' || '.join(part.format(text if c == 'text' else c) for c in merkle.COLUMNS)})"
 
 
-_LOWERED = f"CASE WHEN {_CRC32.format('doc_id::VARCHAR')} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+_LOWERED = f"CASE WHEN doc_id IS NOT NULL AND {_CRC32.format('doc_id::VARCHAR')} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
 
 _SPACE = r"\x20\x09-\x0D"
 
