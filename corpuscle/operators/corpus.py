@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,15 +12,28 @@ from corpuscle.functions import text as X
 from corpuscle.session import written
 
 
-def dedup_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+#: Hashes of repeated texts are broadcast up to so many; beyond, rows are joined with them by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def dedup_first(docs: DataFrame, text: str = "text", key: str = "doc_id", deal: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row per distinct non-null text: the one with the smallest key (null keys come last).
 
-    Groups by a hash of the text in one shuffle, and in part before it, so a text shared by very many rows is sent a
-    few times only; no texts are compared.
+    Hashes and keys alone are grouped, in part before each shuffle; of these, only texts that repeat are written, and
+    whole rows are neither sorted nor, where few texts repeat, shuffled. Of rows equal in text and key any one is taken.
+    ``docs`` is read twice. ``deal`` (``readers.spread``) lays rows out anew before they are kept.
     """
-    live, order = docs.where(F.col(text).isNotNull()), F.struct(F.col(key).isNull(), F.col(key))
-    first = live.groupBy(F.sha2(text, 256).alias("__h")).agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
-    return first.select("__row.*")
+    live, h = docs.where(F.col(text).isNotNull()), F.sha2(text, 256)
+    by_key = live.select(h.alias("__h"), F.col(key).alias("__k")).groupBy("__h", "__k").agg(F.count(F.lit(1)).alias("__n"))
+    groups = by_key.groupBy("__h").agg(F.min("__k").alias("__first"), F.sum("__n").alias("__n"), F.max("__n").alias("__same"))
+    repeated = written(groups.where("__n > 1"), "repeated")
+    few = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
+    rows = (live if deal is None else deal(live)).withColumn("__h", h).join(few, "__h", "left")
+    kept = rows.where(F.col("__n").isNull() | F.col(key).eqNullSafe(F.col("__first")))
+    if repeated.where("__same > 1").isEmpty():
+        return kept.select(*docs.columns)
+    alone = F.coalesce(F.col("__same"), F.lit(1)) == 1
+    return kept.where(alone).unionByName(kept.where(~alone).dropDuplicates(["__h"])).select(*docs.columns)
 
 
 def with_doc_idx(docs: DataFrame, key: str = "doc_id") -> DataFrame:

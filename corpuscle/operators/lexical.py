@@ -3,24 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as X
-from corpuscle.session import written
+from corpuscle.functions.tagging import LEMMA_EXCEPTIONS
+from corpuscle.session import drop, written
 
 #: Of a text column: its terms in order, an array of strings.
 Tokeniser = Callable[[Column], Column]
+#: Of a column of terms in order: their Penn tags, an array as long (``tagging.Tagger``, or any other).
+SequenceTagger = Callable[[Column], Column]
 
 
 def tokens_long(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", ngram_range: tuple[int, int] = (1, 1), stop_words: list[str] | None = None, tokenise: Tokeniser | None = None
+    docs: DataFrame, text: str = "text", key: str = "doc_id", ngram_range: tuple[int, int] = (1, 1), stop_words: list[str] | None = None, tokenise: Tokeniser | None = None, tag: SequenceTagger | None = None
 ) -> DataFrame:
-    """``(doc_id, pos, term)``, positions counted after filtering. ``tokenise`` takes the place of ``text.tokens``."""
+    """``(doc_id, pos, term)``, positions counted after filtering. ``tokenise`` takes the place of ``text.tokens``.
+
+    With ``tag`` also each term's tag in the sequence of all; no n-grams then.
+    """
     terms = X.tokens(F.col(text), stop_words) if tokenise is None else tokenise(F.col(text))
     rows = docs.select(F.col(key).alias("doc_id"), terms.alias("terms"))
+    if tag is not None:
+        both = X.let(F.col("terms"), lambda w: F.zip_with(w, tag(w), lambda t, p: F.struct(t.alias("term"), p.alias("tag"))))
+        return rows.select("doc_id", F.posexplode(both).alias("pos", "t")).select("doc_id", "pos", "t.term", "t.tag")
     if ngram_range != (1, 1):
         rows = rows.select("doc_id", X.ngrams(F.col("terms"), *ngram_range).alias("terms"))
     return rows.select("doc_id", F.posexplode("terms").alias("pos", "term"))
@@ -29,12 +38,15 @@ def tokens_long(
 def lemmas(tokens: DataFrame, known_terms: DataFrame | None = None, tag: Tokeniser | None = None) -> DataFrame:
     """``tokens`` with terms replaced by the first base form, by suffix rules, that the corpus itself holds.
 
-    ``known_terms``: the corpus' distinct terms, where ``tokens`` are of queries. ``tag``: of the term column, its Penn
-    tag (``text.penn_tag``, or a tagger's); then only the rules of that part of speech are tried.
+    ``known_terms``: the corpus' distinct terms, where ``tokens`` are of queries. Only the rules of a part of speech are
+    tried if ``tokens`` have a column ``tag``, each term's Penn tag in its context, which also finds irregular forms by a
+    table; or with ``tag``: of the term column, a tag that a word has everywhere (``text.penn_tag``).
     """
-    vocabulary = tokens.select("term").distinct()
-    bases = vocabulary if known_terms is None else known_terms.select("term")
-    pos = None if tag is None else X.wordnet_pos(tag(F.col("term")))
+    context = "tag" in tokens.columns
+    by = ["term", "tag"] if context else ["term"]
+    vocabulary = tokens.select(*by).distinct()
+    bases = (tokens if known_terms is None else known_terms).select(F.col("term").alias("base"))
+    pos = X.wordnet_pos(F.col("tag")) if context else None if tag is None else X.wordnet_pos(tag(F.col("term")))
 
     def form(suffix: str, base: str, of: str) -> Column:
         may = F.col("term").endswith(suffix) & (F.length("term") > len(suffix) + 2)
@@ -42,10 +54,14 @@ def lemmas(tokens: DataFrame, known_terms: DataFrame | None = None, tag: Tokenis
         return F.when(may, F.concat(F.expr(f"substring(term, 1, length(term) - {len(suffix)})"), F.lit(base)))
 
     forms = F.array(*[form(suffix, base, X.LEMMA_POS.get(suffix, "nv")) for suffix, base in X.LEMMA_RULES])
-    tried = vocabulary.select("term", F.posexplode(forms).alias("rule", "base")).where("base is not null")
-    known = tried.join(bases.withColumnRenamed("term", "base"), "base", "left_semi")
-    chosen = known.groupBy("term").agg(F.min_by("base", "rule").alias("lemma"))
-    return tokens.join(chosen, "term", "left").withColumn("term", F.coalesce("lemma", "term")).drop("lemma")
+    tried = vocabulary.select(*by, F.posexplode(forms).alias("rule", "base")).where("base is not null")
+    known = tried.join(bases, "base", "left_semi")
+    chosen = known.groupBy(*by).agg(F.min_by("base", "rule").alias("lemma"))
+    found = tokens.join(chosen, by, "left")
+    if context:
+        irregular = F.create_map(*[F.lit(x) for of, forms in LEMMA_EXCEPTIONS.items() for word, lemma in forms.items() for x in (f"{of}/{word}", lemma)])
+        found = found.withColumn("lemma", F.coalesce(F.try_element_at(irregular, F.concat(pos, F.lit("/"), "term")), "lemma"))
+    return found.withColumn("term", F.coalesce("lemma", "term")).select(*[c for c in tokens.columns if c != "tag"])
 
 
 def term_frequency(tokens: DataFrame) -> DataFrame:
@@ -63,7 +79,8 @@ def top_terms(tokens: DataFrame, n: int) -> DataFrame:
 
 
 def doc_term_counts(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """How often a document has each term; of tagged tokens, each term and tag."""
+    return tokens.groupBy("doc_id", "term", *[c for c in ["tag"] if c in tokens.columns]).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def idf_column(n_docs: int) -> Column:
@@ -84,7 +101,7 @@ class LexicalIndex:
     """A fitted TF-IDF: corpus ``(doc_id, text)``, terms ``(term, df, idf)``, weights ``(doc_id, term, w)``, norms ``(doc_id, norm)``.
 
     ``counts``: (doc_id, term, tf) of all terms. With ``lemmatise``, ``vocabulary`` has the corpus' terms before that, by
-    which query words are lemmatised. Queries are cut into terms as the corpus was.
+    which query words are lemmatised. Queries are cut into terms as the corpus was. ``made``: the index' tables.
     """
 
     corpus: DataFrame
@@ -98,11 +115,28 @@ class LexicalIndex:
     counts: DataFrame | None = None
     stop_words: list[str] | None = None
     tokenise: Tokeniser | None = None
+    tag: SequenceTagger | None = None
+    made: list[DataFrame] = field(default_factory=list)
+
+    def tokens(self, rows: DataFrame, text: str, key: str, grams: bool = True) -> DataFrame:
+        """``(doc_id, pos, term)`` of texts of the corpus or of queries, cut and lemmatised as the index' terms; n-grams if ``grams``."""
+        ngram_range = self.ngram_range if grams else (1, 1)
+        if self.lemmatise:
+            return lemma_tokens(rows, text, key, ngram_range, self.vocabulary, self.stop_words, self.tokenise, self.tag)
+        return tokens_long(rows, text, key, ngram_range, self.stop_words, self.tokenise)
+
+    def drop(self) -> None:
+        """Deletes the index' tables, once all that is still to be read from them has been written itself."""
+        drop(*self.made)
 
 
-def lemma_tokens(rows: DataFrame, text: str, key: str, ngram_range: tuple[int, int], known_terms: DataFrame | None = None, stop_words: list[str] | None = None, tokenise: Tokeniser | None = None) -> DataFrame:
+def lemma_tokens(rows: DataFrame, text: str, key: str, ngram_range: tuple[int, int], known_terms: DataFrame | None = None, stop_words: list[str] | None = None, tokenise: Tokeniser | None = None, tag: SequenceTagger | None = None) -> DataFrame:
     """``tokens_long`` over lemmas: n-grams are made of these."""
-    tokens = lemmas(tokens_long(rows, text, key, (1, 1), stop_words, tokenise), known_terms)
+    return lemma_grams(lemmas(tokens_long(rows, text, key, (1, 1), stop_words, tokenise, tag), known_terms), ngram_range)
+
+
+def lemma_grams(tokens: DataFrame, ngram_range: tuple[int, int]) -> DataFrame:
+    """``tokens`` made into n-grams, in the order of their positions."""
     if ngram_range == (1, 1):
         return tokens
     again = tokens.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms"))
@@ -119,42 +153,46 @@ def fit(
     stop_words: list[str] | None = None,
     tokenise: Tokeniser | None = None,
     counts: DataFrame | None = None,
+    tag: SequenceTagger | None = None,
 ) -> LexicalIndex:
     """The index over ``(doc_id, text)``. The corpus is cut into terms once; their counts are a table in the shared folder.
 
-    ``counts``: those of another index over the same corpus and terms, to be used again.
+    ``counts``: those of another index over the same corpus and terms, to be used again. ``tag``: with ``lemmatise``, the
+    tagger by whose tags, in context, words of corpus and queries are lemmatised.
     """
-    known, how = None, (stop_words, tokenise)
+    known, made, how = None, [], (stop_words, tokenise)
     if counts is not None:
         pass
-    elif lemmatise and ngram_range == (1, 1):
-        plain = written(doc_term_counts(tokens_long(corpus, "text", "doc_id", (1, 1), *how)), "counts")
+    elif lemmatise:
+        if ngram_range == (1, 1):
+            plain = written(doc_term_counts(tokens_long(corpus, "text", "doc_id", (1, 1), *how, tag)), "counts")
+            based = lemmas(plain).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+        else:
+            plain = written(tokens_long(corpus, "text", "doc_id", (1, 1), *how, tag), "tokens")
+            based = doc_term_counts(lemma_grams(lemmas(plain), ngram_range))
         known = plain.select("term").distinct()
-        counts = written(lemmas(plain).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")), "counts")
+        counts = written(based, "counts")
+        made += [plain, counts]
     else:
-        if lemmatise:
-            tokens = lemma_tokens(corpus, "text", "doc_id", ngram_range, None, *how)
-            known = written(tokens_long(corpus, "text", "doc_id", (1, 1), *how).select("term").distinct(), "vocabulary")
-        else:
-            tokens = tokens_long(corpus, "text", "doc_id", ngram_range, *how)
-        counts = written(doc_term_counts(tokens), "counts")
+        counts = written(doc_term_counts(tokens_long(corpus, "text", "doc_id", ngram_range, *how)), "counts")
+        made.append(counts)
     used = counts
     if max_features is not None:
         used = counts.join(top_terms(counts, max_features).select("term"), "term", "left_semi")
     terms = idf_table(used, corpus.count() if n_docs is None else n_docs)
     weights = used.join(terms, "term").select("doc_id", "term", (tf_column(sublinear) * F.col("idf")).alias("w"))
     norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return LexicalIndex(corpus, terms, weights, norms, sublinear, ngram_range, lemmatise, known, counts, stop_words, tokenise)
+    return LexicalIndex(corpus, terms, weights, norms, sublinear, ngram_range, lemmatise, known, counts, stop_words, tokenise, tag, made)
 
 
 def query_weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """``(query_id, term, qw)`` of ``(query_id, query)``; unknown terms vanish, nothing is fitted anew."""
-    of, how = (queries, "query", "query_id", index.ngram_range), (index.stop_words, index.tokenise)
-    tokens = lemma_tokens(*of, index.vocabulary, *how) if index.lemmatise else tokens_long(*of, *how)
-    counts = doc_term_counts(tokens).withColumnRenamed("doc_id", "query_id")
+    counts = doc_term_counts(index.tokens(queries, "query", "query_id")).withColumnRenamed("doc_id", "query_id")
     return counts.join(index.terms, "term").select("query_id", "term", (tf_column(index.sublinear) * F.col("idf")).alias("qw"))
 
 
+#: Weights of queries are rows of the plan, and no table, up to so many.
+LITERAL_ROWS = 2_000
 #: Query terms and norms are broadcast up to so many rows; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -162,11 +200,14 @@ BROADCAST_ROWS = 200_000
 def score(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """``(query_id, doc_id, score)`` of all pairs that share a term; others score 0. Rounded to six decimals.
 
-    The queries' weights are a table in the shared folder, whose rows are counted before they are broadcast.
+    The weights of a few queries become rows of the plan; others a table in the shared folder, whose rows are counted before
+    they are broadcast.
     """
-    q = written(query_weights(index, queries), "query-weights")
+    q = query_weights(index, queries)
+    some = q.limit(LITERAL_ROWS + 1).collect()
+    q = q.sparkSession.createDataFrame(some, q.schema) if len(some) <= LITERAL_ROWS else written(q, "query-weights")
     norms = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    small = F.broadcast if q.count() <= BROADCAST_ROWS else lambda df: df
+    small = F.broadcast if len(some) <= LITERAL_ROWS or q.count() <= BROADCAST_ROWS else lambda df: df
     products = index.weights.join(small(q), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     lengths = products.join(small(norms), "query_id").join(index.norms, "doc_id")
     return lengths.select("query_id", "doc_id", F.round(F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("qnorm")), F.lit(0.0)), 6).alias("score"))

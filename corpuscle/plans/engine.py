@@ -20,10 +20,19 @@ log = logging.getLogger(__name__)
 
 @dataclass
 class Options:
+    """How texts are cut into terms, for all arms, the corpus and queries alike, and how vectors are learned.
+
+    ``tag``, used with ``lemmatise``, and ``tokenise`` are told apart by ``repr``, or by name if they are functions: give
+    a function another name when it changes.
+    """
+
     sublinear: bool = True
     ngram_range: tuple[int, int] = (1, 1)
     max_features: int | None = None
     lemmatise: bool = False
+    tag: lexical.SequenceTagger | None = None
+    stop_words: list[str] | None = None
+    tokenise: lexical.Tokeniser | None = None
     vector_size: int = 100
     window: int = 5
     min_count: int = 2
@@ -31,6 +40,11 @@ class Options:
     seed: int = 42
 
 
+def _named(value) -> object:
+    """What tells options apart, the same in every process."""
+    return f"{value.__module__}.{value.__qualname__}" if hasattr(value, "__qualname__") else value
+
+
 class SearchEngine:
     """Builds the arms over ``(doc_id, text)`` rows and searches them.
 
@@ -54,17 +68,27 @@ class SearchEngine:
         clean = C.dedup_first(docs.select("doc_id", "text"))
         self.device = embed.device() if device is None else device
         given = None if word_vectors is None else C.table_key(word_vectors.select("word", "vector"))
-        self.key = C.content_key(clean, **vars(self.options), encoder=embed.encoder_key(encoder), words=given)
+        self.key = C.content_key(clean, **{k: _named(v) for k, v in vars(self.options).items()}, encoder=embed.encoder_key(encoder), words=given)
         self.root = f"{cache.rstrip('/')}/{self.key}"
         self.corpus = self._kept("corpus", lambda: clean)
         self.n_docs = self.corpus.count()
         o = self.options
-        fitted = lexical.fit(self.corpus, o.sublinear, o.ngram_range, o.max_features, o.lemmatise, self.n_docs)
-        weights = self._kept("weights", lambda: fitted.weights, "term")
+        how = (o.sublinear, o.ngram_range, o.max_features, o.lemmatise)
+        fitted: list[lexical.LexicalIndex] = []
+
+        def fit() -> lexical.LexicalIndex:  # not on a full cache: it reads all texts
+            if not fitted:
+                fitted.append(lexical.fit(self.corpus, *how, self.n_docs, o.stop_words, o.tokenise, tag=o.tag))
+            return fitted[0]
+
+        weights = self._kept("weights", lambda: fit().weights, "term")
         norms = self._kept("norms", lambda: weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
-        known = self._kept("vocabulary", lambda: fitted.vocabulary) if o.lemmatise else None
-        self.index = lexical.LexicalIndex(self.corpus, self._kept("terms", lambda: fitted.terms), weights, norms, o.sublinear, o.ngram_range, o.lemmatise, known)
-        tokens = lexical.tokens_long(self.corpus)
+        known = self._kept("vocabulary", lambda: fit().vocabulary) if o.lemmatise else None
+        terms = self._kept("terms", lambda: fit().terms)
+        self.index = lexical.LexicalIndex(self.corpus, terms, weights, norms, *how[:2], o.lemmatise, known, None, o.stop_words, o.tokenise, o.tag)
+        for own in fitted:
+            own.drop()
+        tokens = self.index.tokens(self.corpus, "text", "doc_id", grams=False)
 
         def trained() -> DataFrame:
             return embed.word_vectors(embed.train_word2vec(tokens, o.vector_size, o.window, o.min_count, o.epochs, seed=o.seed))
@@ -73,7 +97,7 @@ class SearchEngine:
         self.width = self.word_vectors.select(F.max(F.size("vector"))).first()[0] or o.vector_size
         self.doc_vectors = self._kept("doc_vectors", lambda: dense.mean_vectors(tokens, self.word_vectors, self.corpus, self.width))
         self.encoded = self._kept("encoded", lambda: embed.encode(self.corpus, encoder).select("doc_id", "vector")) if encoder else None
-        self.retrievers = [retrievers.Lexical(self.index), retrievers.WordVectors(self.word_vectors, self.doc_vectors, self.width)]
+        self.retrievers = [retrievers.Lexical(self.index), retrievers.WordVectors(self.word_vectors, self.doc_vectors, self.width, self.index)]
         self.retrievers += [retrievers.Encoded(encoder, self.encoded)] if encoder else []
         self.retrievers += more or []
 
@@ -98,7 +122,7 @@ class SearchEngine:
         return R.hits(R.side_by_side(**{r.key: r.search(queries, k) for r in self.retrievers}), self.corpus)
 
     def search(self, query: str, k: int = validate.DEFAULT_K) -> dict:
-        """One query's response: took_ms and each method's hits in rank order."""
+        """One query's response: took_ms and each method's hits in rank order, an empty list where it has none."""
         began, query = time.perf_counter(), validate.check(query, k)
         rows = self.search_batch(self.spark.createDataFrame([(0, query)], "query_id long, query string"), k).orderBy("method_order", "rank").collect()
         out = []
@@ -106,8 +130,7 @@ class SearchEngine:
         for key in self.methods:
             label, description = told.get(key, (key, ""))
             own = [{"rank": r["rank"], "score": r["score"], "doc_id": r["doc_id"], "url": r["url"], "snippet": r["snippet"], "abstract": r["text"]} for r in rows if r["method"] == key]
-            if own:
-                out.append({"key": key, "label": label, "description": description, "results": own})
+            out.append({"key": key, "label": label, "description": description, "results": own})
         return {"query": query, "took_ms": round((time.perf_counter() - began) * 1000, 1), "methods": out}
 
     def status(self) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscle.functions import tagging as G
 from corpuscle.functions import text as X
 from corpuscle.functions import vectors as V
 from corpuscle.functions.stopwords import ENGLISH
@@ -41,7 +42,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.dedup_first(spread(documents(spark, sf_dir).select("doc_id", "text")))
+    return C.dedup_first(documents(spark, sf_dir).select("doc_id", "text"), deal=spread)
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,6 +414,68 @@ def lemma_pos_frequency(spark, sf_dir):
     return lexical.term_frequency(lexical.lemmas(tokens(spark, sf_dir), tag=X.penn_tag))
 
 
+def sql_values(rows) -> str:
+    return ", ".join(f"({', '.join(map(str, r))})" for r in rows)
+
+
+_CLASS = " ".join(
+    [f"WHEN term IN ({', '.join(_quoted(w) for w, c in G.WORDS.items() if c == code)}) THEN {_quoted(code)}" for code in G.SETS]
+    + [f"WHEN regexp_matches(term, {_quoted(pattern)}) THEN {_quoted(code)}" for code, pattern, _ in G.ENDINGS]
+)
+_FOLLOWS = sql_values((_quoted(before), _quoted(t), cost) for before, own in G.SEED.follows for t, cost in zip(G.LETTERS, own, strict=True))
+_EMITS = sql_values((_quoted(code), _quoted(t), cost) for code, own in G.SEED.emits for t, cost in own)
+#: The cheapest tags of whole documents, word by word: of each state the least (cost, letters).
+_TAGGED = f"""follows(before, t, cost) AS (VALUES {_FOLLOWS}), emits(class, t, cost) AS (VALUES {_EMITS}),
+    coded AS MATERIALIZED (SELECT doc_id, pos, term, CASE {_CLASS} END AS class FROM tok),
+    ways AS (
+        SELECT doc_id, pos, e.t, {{'c': (f.cost + e.cost)::BIGINT, 'p': e.t}} AS w FROM coded JOIN emits e USING (class) JOIN follows f ON before = '^' AND f.t = e.t WHERE pos = 0
+        UNION ALL
+        SELECT d.doc_id, r.pos, e.t, min({{'c': d.w.c + f.cost + e.cost, 'p': d.w.p || e.t}}) AS w
+        FROM ways d JOIN coded r ON r.doc_id = d.doc_id AND r.pos = d.pos + 1 JOIN emits e ON e.class = r.class JOIN follows f ON f.before = d.t AND f.t = e.t
+        GROUP BY d.doc_id, r.pos, e.t),
+    best AS (SELECT doc_id, min(w).p AS letters FROM (SELECT *, max(pos) OVER (PARTITION BY doc_id) AS last FROM ways) WHERE pos = last GROUP BY doc_id),
+    tagged AS (SELECT doc_id, pos, term, letters[pos + 1] AS letter FROM coded JOIN best USING (doc_id))"""
+_TAGS = "CASE letter " + " ".join(f"WHEN {_quoted(t)} THEN {_quoted(name)}" for t, name in G.TAGS.items()) + " END"
+
+
+@query(f"WITH RECURSIVE {sql_tok()}, {_TAGGED} SELECT doc_id, pos, term, {_TAGS} AS tag FROM tagged")
+def pos_tags(spark, sf_dir):
+    """Each content word's tag in its context, by the seed model."""
+    return lexical.tokens_long(corpus(spark, sf_dir), tag=G.SEED)
+
+
+_IRREGULAR = sql_values((_quoted(of), _quoted(word), _quoted(lemma)) for of, forms in G.LEMMA_EXCEPTIONS.items() for word, lemma in forms.items())
+_CONTEXT_LEMMAS = f"""said AS (SELECT doc_id, pos, term, CASE WHEN letter = 'a' THEN 'a' WHEN letter IN ('d', 'g', 'v', 'z') THEN 'v' WHEN letter = 'r' THEN 'r' ELSE 'n' END AS of FROM tagged),
+    irregular(of, term, lemma) AS (VALUES {_IRREGULAR}),
+    regular AS (SELECT term, of, arg_min(form, rule) AS form FROM
+        (SELECT term, of, rule, term[1:length(term) - length(suffix)] || base AS form FROM (SELECT DISTINCT term, of FROM said), rules
+         WHERE ends_with(term, suffix) AND length(term) > length(suffix) + 2 AND contains({_POS}, of))
+        WHERE form IN (SELECT term FROM vocab) GROUP BY term, of),
+    lemmas AS (SELECT doc_id, pos, coalesce(lemma, form, term) AS term FROM said LEFT JOIN irregular USING (of, term) LEFT JOIN regular USING (of, term))"""
+
+
+@query(f"WITH RECURSIVE {sql_tok()}, {_VOCAB}, {_TAGGED}, {_CONTEXT_LEMMAS} SELECT term, count(*) AS cnt FROM lemmas GROUP BY term")
+def lemma_context_frequency(spark, sf_dir):
+    """Lemmas by the part of speech that a word has in its context."""
+    counts = lexical.fit(corpus(spark, sf_dir), lemmatise=True, tag=G.SEED).counts
+    return counts.groupBy("term").agg(F.sum("tf").alias("cnt"))
+
+
+@query(f"""WITH RECURSIVE {sql_tok()}, {_VOCAB}, {_TAGGED}, {_CONTEXT_LEMMAS},
+    n AS (SELECT doc_id, term, count(*) AS tf FROM lemmas GROUP BY ALL),
+    v AS (SELECT vec_id, unnest(range(len(embedding)))::INT AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    h AS (SELECT doc_id, tf, ('0x' || md5(term)[1:8])::BIGINT % (SELECT count(*) FROM embeddings) AS vec_id FROM n)
+    SELECT doc_id, dim, round(CAST(CAST(sum(tf * x) / sum(tf) AS FLOAT) AS DOUBLE), 4) + 0.0 AS x FROM h JOIN v USING (vec_id) GROUP BY doc_id, dim""")
+def lemma_mean_vectors(spark, sf_dir):
+    """Means of the vectors of each document's lemmas; a lemma's vector is a stored one, chosen by its hash."""
+    said = lexical.fit(corpus(spark, sf_dir), lemmatise=True, tag=G.SEED).counts
+    stored = embeddings(spark, sf_dir)
+    place = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % stored.count()
+    words = said.select("term").distinct().withColumn("vec_id", place).join(stored, "vec_id").select(F.col("term").alias("word"), F.col("embedding").alias("vector"))
+    made = dense.mean_vectors(said, words, said.select("doc_id").distinct(), 64).select("doc_id", F.posexplode("vector").alias("dim", "x"))
+    return made.withColumn("x", F.round(F.col("x").cast("double"), 4) + F.lit(0.0))
+
+
 @query(f"""WITH {sql_tok()}, {_VOCAB}, {sql_lemma('lemma', 'vocab')}, queries AS ({ALL_ITEMS}),
     counts AS (SELECT doc_id, coalesce(form, term) AS term, count(*) AS tf FROM tok LEFT JOIN lemma USING (term) GROUP BY ALL),
     terms AS (SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + count(*))) + 1.0 AS idf FROM counts GROUP BY term),

@@ -34,16 +34,21 @@ class Lexical:
 
 @dataclass
 class WordVectors:
-    """Means of word vectors: ``words`` (word, vector) of ``width`` numbers, ``docs`` (doc_id, vector)."""
+    """Means of word vectors: ``words`` (word, vector) of ``width`` numbers, ``docs`` (doc_id, vector).
+
+    Queries are cut into words as those of ``index`` are, if there is one.
+    """
 
     words: DataFrame
     docs: DataFrame
     width: int
+    index: lexical.LexicalIndex | None = None
     key: str = "word2vec"
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         texts = queries.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
-        means = dense.mean_vectors(lexical.tokens_long(texts), self.words, texts, self.width)
+        tokens = lexical.tokens_long(texts) if self.index is None else self.index.tokens(texts, "text", "doc_id", grams=False)
+        means = dense.mean_vectors(tokens, self.words, texts, self.width)
         return dense.cosine_topk(self.docs, means.withColumnRenamed("doc_id", "query_id"), k)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -52,19 +53,32 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: How many writes of a session are under way, and its own setting, by the session's JVM object.
+_writing: dict[str, tuple[int, str]] = {}
+_lock = threading.Lock()
+
+
 def save(df: DataFrame, path: str) -> None:
     """Writes ``df`` as a Parquet table. Its shuffle files go when it is written: the table takes their place.
 
     Spark deletes them when the driver's memory is collected, which may be much later. The session's own setting
-    holds again afterwards.
+    holds again when the last of the writes that overlap has ended, in whatever threads these are.
     """
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    spark = df.sparkSession
+    name = spark._jsparkSession.sessionUUID()
+    with _lock:
+        under_way, before = _writing.get(name, (0, None))
+        _writing[name] = under_way + 1, spark.conf.get(CLEANUP, "false") if before is None else before
+        spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        conf.set(CLEANUP, before)
+        with _lock:
+            under_way, before = _writing.pop(name)
+            if under_way > 1:
+                _writing[name] = under_way - 1, before
+            else:
+                spark.conf.set(CLEANUP, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
