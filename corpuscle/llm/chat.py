@@ -196,7 +196,8 @@ def chat_digest(conversations: DataFrame) -> DataFrame:
     """Each conversation formatted and read back: counts and hashes of its turns and of its loss text.
 
     One row a conversation, in which repeated rows are repeated turns; rows of a null conv_id are one. Null roles and
-    texts count as empty, null turns come first, rows of equal turn go by role and text. The probe comes as conversation
+    texts count as empty, null turns come first, rows of equal turn go by role and text. Texts count whole, however long;
+    columns beside the four are left out, whatever their names. The probe comes as conversation
     -1, beside a conversation of this number if the table has one, and alone where the table is empty.
     """
     messages = with_probe(conversations)

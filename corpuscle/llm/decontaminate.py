@@ -197,5 +197,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
 
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The contaminated documents of a table: doc_id, item_id, n_items, doc_start, item_start, n_words and n_same."""
+    """The contaminated documents of a table: doc_id, item_id, n_items, doc_start, item_start, n_words and n_same.
+
+    Null and empty texts and items overlap nothing; texts count whole, however long. Rows of equal doc_id and text are one;
+    ties between overlaps go to the first place in the document, then to the smallest item. A null doc_id is a value like
+    others. Other columns are left out, whatever their names; an empty table or benchmark gives an empty result.
+    """
     return contaminated(documents, benchmark).drop("row")

@@ -160,5 +160,10 @@ def mix(
 
 
 def mix_report(documents: DataFrame) -> DataFrame:
-    """The mixed stream of all documents without their texts: a row per document and copy, cases as in ``mix``."""
+    """The mixed stream of all documents without their texts: a row per document and copy.
+
+    Null and empty texts count one token, texts count whole; a null source is one of its own, a null doc_id a value like
+    others. Repeated rows are taken together. Other columns are left out, whatever their names; an empty table gives
+    an empty result.
+    """
     return mix(documents).select("doc_id", "source", "mix_tokens", "mix_copy", "mix_block", "mix_position")

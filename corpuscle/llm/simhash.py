@@ -258,7 +258,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
 def classes_of(prints: DataFrame, threshold: int = 4) -> DataFrame:
     """``(fp, component, component_id, n)`` of each distinct fingerprint of ``(id, fp)`` rows.
 
-    ``component`` is the component's least fingerprint, ``component_id`` its smallest id, ``n`` the rows of ``fp``.
+    ``component`` is the component's least fingerprint, ``component_id`` its smallest id, ``n`` the rows of ``fp``. Null ids
+    are larger than all others and a component of such rows alone has a null one; repeated rows count each; an empty table
+    gives an empty result.
     """
     smallest = written(prints.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "simhash")
     found = connected_components(links(smallest, threshold))
@@ -269,7 +271,12 @@ def classes_of(prints: DataFrame, threshold: int = 4) -> DataFrame:
 
 
 def simhash_report(documents: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and component_id of all documents."""
+    """doc_id, fingerprint and component_id of all documents, a row per row.
+
+    Null, empty and blank texts have fingerprint zero and are linked like any others; texts count whole, however long.
+    Equal texts, repeated rows among them, are in one component. A null doc_id is never a component's smallest, unless
+    there is no other. Other columns are left out, whatever their names; an empty table gives an empty result.
+    """
     narrow = written(documents.select("doc_id", fingerprint_column(F.col("text")).alias("fp")), "fingerprints")
     classes = written(classes_of(narrow.withColumnRenamed("doc_id", "id")), "classes")
     return hot_join(narrow, classes, "fp", narrow.count()).select("doc_id", _hex("fp").alias("fingerprint"), "component_id")

@@ -297,8 +297,10 @@ def _arrow_schema():
 def archive_pages(pages: DataFrame, folder: str | None = None, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """All pages written as archives (null html: an empty payload) and read back from them.
 
-    Raises WarcError if fewer or more records were written than there are pages. An empty table writes no
-    archive and gives no rows.
+    Texts of any length are stored and read whole; repeated rows have a record each, of which those with the largest
+    page_id are responses (ties: all of them). Null ids and addresses are kept as nulls. Only the three columns named are
+    read, whatever the names of others. Raises WarcError if fewer or more records were written than there are pages.
+    An empty table writes no archive and gives no rows.
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/corpuscle/warc-{uuid.uuid4().hex}"
@@ -312,4 +314,8 @@ def archive_pages(pages: DataFrame, folder: str | None = None, page: str = "page
 
 
 def warc_digest(pages: DataFrame) -> DataFrame:
+    """Each page's record as read back: lengths, digest, type and what it refers to; cases as in ``archive_pages``.
+
+    A null or empty html is an empty payload, which pages share like any other.
+    """
     return archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
