@@ -12,7 +12,7 @@ from corpuscle.functions import text as X
 from corpuscle.functions import vectors as V
 from corpuscle.functions.stopwords import ENGLISH
 from corpuscle.operators import corpus as C
-from corpuscle.operators import dense, embed, lexical
+from corpuscle.operators import blocksgd, dense, embed, lexical, negatives
 from corpuscle.operators import rank as R
 from corpuscle.sources import sinks
 from corpuscle.sources.readers import spread
@@ -325,6 +325,32 @@ def skipgram_pairs(spark, sf_dir):
     return embed.skipgram_pairs(tokens(spark, sf_dir)).groupBy("center", "context").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+_ALIAS = f"""vocab AS (SELECT term, count(*) AS cnt FROM tok GROUP BY term HAVING count(*) >= 2),
+    weight AS (SELECT term, greatest(1, round(pow(cnt, 0.75) * {negatives.SCALE}))::BIGINT AS w FROM vocab),
+    size AS (SELECT count(*) AS n, sum(w)::BIGINT AS total FROM weight),
+    mass AS (SELECT term, n * w - total AS over FROM weight, size),
+    light AS (SELECT term, -over AS lacks, sum(-over) OVER (ORDER BY term) AS d, row_number() OVER (ORDER BY term) - 1 AS bucket FROM mass WHERE over <= 0),
+    heavy AS (SELECT term, sum(over) OVER (ORDER BY term) AS e, row_number() OVER (ORDER BY term) AS place FROM mass WHERE over > 0),
+    alias AS (
+        SELECT bucket, l.term, total - lacks AS keep, coalesce(h.term, l.term) AS other FROM light l ASOF LEFT JOIN heavy h ON d - lacks < e, size
+        UNION ALL
+        SELECT (SELECT count(*) FROM light) + place - 1, h.term, total + e - coalesce(l.d, e), coalesce(lead(h.term) OVER (ORDER BY place), h.term)
+        FROM heavy h ASOF LEFT JOIN light l ON e <= l.d, size)"""
+
+
+@query(f"""WITH {sql_tok()}, {_ALIAS},
+    kept AS (SELECT doc_id, pos AS place, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos, term FROM tok SEMI JOIN vocab USING (term)),
+    pairs AS (SELECT a.doc_id, a.place AS pos, b.place AS at FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 5 AND a.pos + 5 AND a.pos <> b.pos),
+    hashed AS (SELECT md5('42:' || doc_id || ':' || pos || ':' || at || ':0') AS h FROM pairs),
+    drawn AS (SELECT ('0x' || h[1:8])::BIGINT % n AS bucket, ('0x' || h[9:23])::BIGINT % total AS coin FROM hashed, size)
+    SELECT CASE WHEN coin < keep THEN term ELSE other END AS term, count(*) AS drawn FROM drawn JOIN alias USING (bucket) GROUP BY 1""")
+def negative_draws(spark, sf_dir):
+    """How often each word is drawn as the negative of a skip-gram pair: by its count to the power 0.75."""
+    toks = tokens(spark, sf_dir)
+    table = negatives.alias_table(lexical.vocabulary(toks, 2))
+    return negatives.draws(embed.skipgram_pairs(toks), table).groupBy(F.col("drawn").alias("term")).agg(F.count(F.lit(1)).alias("drawn"))
+
+
 def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three methods whose results SQL can tell too: sublinear TF-IDF, raw TF-IDF, TF-IDF of bigrams."""
     docs, q = corpus(spark, sf_dir), benchmark(spark, sf_dir)
@@ -529,6 +555,16 @@ def word2vec_neighbours(spark, sf_dir):
     return dense.neighbours(vectors, words)
 
 
+@query()
+def block_word2vec_search(spark, sf_dir):
+    """All items against all documents by vectors that were learned in blocks, 100 numbers and 5 epochs."""
+    toks, docs = tokens(spark, sf_dir), corpus(spark, sf_dir)
+    vectors, _ = blocksgd.train_pairs(embed.skipgram_pairs(toks))
+    q = benchmark(spark, sf_dir).select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
+    means = dense.mean_vectors(lexical.tokens_long(q), vectors, q, 100).withColumnRenamed("doc_id", "query_id")
+    return dense.cosine_topk(dense.mean_vectors(toks, vectors, docs, 100), means, 5)
+
+
 def _sql_encoded(name: str, rows: str) -> str:
     """Vectors of the hashing encoder in long form: 64 places, a word counts 1 or -1 at one of them."""
     plain = f"trim(regexp_replace(regexp_replace(coalesce(t, ''), {_quoted(X.TAG)}, ' ', 'g'), {_quoted(X.BLANKS)}, ' ', 'g'))"

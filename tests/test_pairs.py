@@ -1,0 +1,119 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpuscle.operators import blocksgd, embed, lexical, negatives
+from corpuscle.operators.order import accumulate
+from corpuscle.sources.readers import corpus_of
+
+
+def test_running_totals(spark):
+    rows = [(i * 37 % 101, i % 5 - 1) for i in range(101)]
+    got = accumulate(spark.createDataFrame(rows, "k long, x long").repartition(6), ["k"], {"s": "x"}).orderBy("k").collect()
+    sums = np.cumsum([x for _, x in sorted(rows)])
+    assert [(r["place"], r["s"]) for r in got] == [(i, int(s)) for i, s in enumerate(sums)]
+    assert accumulate(spark.createDataFrame([], "k long, x long"), ["k"], {"s": "x"}).collect() == []
+
+
+@pytest.mark.parametrize("counts", [[5], [3, 3, 3], [1, 1, 1, 50], [40, 1, 30, 2, 2, 9, 1, 1, 25], list(range(1, 60))])
+@pytest.mark.parametrize("power", [0.75, 0])
+def test_alias_table_holds_each_weight(spark, counts, power):
+    """What a word has in all buckets is its weight, to the unit."""
+    frequency = spark.createDataFrame([(f"w{i:03}", c) for i, c in enumerate(counts)], "term string, cnt long")
+    rows = negatives.alias_table(frequency, power).collect()
+    n, total = len(counts), rows[0]["total"]
+    assert sorted(r["bucket"] for r in rows) == list(range(n)) and {r["n"] for r in rows} == {n}
+    mass = {}
+    for r in rows:
+        assert 0 <= r["keep"] <= total
+        mass[r["term"]] = mass.get(r["term"], 0) + r["keep"]
+        mass[r["other"]] = mass.get(r["other"], 0) + total - r["keep"]
+    weights = {f"w{i:03}": max(1, round(c**power * negatives.SCALE)) for i, c in enumerate(counts)}
+    assert mass == {t: n * w for t, w in weights.items()} and total == sum(weights.values())
+
+
+def test_draws_follow_the_weights(spark):
+    """By a chi-square test; and the layout of the pairs bears on nothing."""
+    counts = {"a": 1, "b": 16, "c": 81, "d": 256, "e": 1000}
+    table = negatives.alias_table(spark.createDataFrame(list(counts.items()), "term string, cnt long"))
+    pairs = spark.range(4_000).selectExpr("id % 50 AS doc_id", "id AS pos", "id + 1 AS at", "'x' AS center", "'y' AS context")
+    drawn = {r["drawn"]: r["count"] for r in negatives.draws(pairs, table, 5).groupBy("drawn").count().collect()}
+    again = {r["drawn"]: r["count"] for r in negatives.draws(pairs.repartition(7), table, 5).groupBy("drawn").count().collect()}
+    assert drawn == again and sum(drawn.values()) == 20_000
+    total = sum(c**0.75 for c in counts.values())
+    assert sum((drawn.get(t, 0) - (want := 20_000 * c**0.75 / total)) ** 2 / want for t, c in counts.items()) < 18.5  # 0.999 of four degrees
+    labels = {r["label"]: r["count"] for r in negatives.with_negatives(pairs, table, 2).groupBy("label").count().collect()}
+    assert labels == {1: 4_000, 0: 8_000}
+    assert negatives.draws(pairs, negatives.alias_table(table.where("false").withColumn("cnt", F.lit(1)))).collect() == []
+
+
+def test_subsampling(spark):
+    tokens = spark.range(50_000).selectExpr("id % 7 AS doc_id", "id AS pos", "IF(id % 10 = 0, concat('r', id), 'often') AS term")
+    frequency = lexical.term_frequency(tokens)
+    kept = negatives.subsample(tokens, frequency, 0.01)
+    assert kept.where("term <> 'often'").count() == 5_000
+    share = kept.where("term = 'often'").count() / 45_000
+    assert share == pytest.approx((0.01 / 0.9) ** 0.5 + 0.01 / 0.9, abs=0.01)
+
+
+def brute_pairs(words, window, min_count=2):
+    kept = [(i, w) for i, w in enumerate(words) if words.count(w) >= min_count]
+    return sorted((p, w, q, v) for x, (p, w) in enumerate(kept) for y, (q, v) in enumerate(kept) if x != y and abs(x - y) <= window)
+
+
+@pytest.mark.parametrize("segment", [1, 2, 7, 1000])
+def test_frames_over_segments(spark, segment):
+    """Short segments, also without any known word, give the pairs of the whole document."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in rng.integers(0, 12, 60)] + [f"once{i}" for i in range(20)] + [f"w{i}" for i in rng.integers(0, 12, 15)]
+    tokens = spark.createDataFrame([(d, i, w) for d, own in ((0, words), (1, words[:3])) for i, w in enumerate(own)], "doc_id long, pos int, term string")
+    got = embed.skipgram_pairs(tokens, 5, 3, segment)
+    assert got.columns == ["doc_id", "pos", "center", "at", "context"]
+    own = sorted((r["pos"], r["center"], r["at"], r["context"]) for r in got.where("doc_id = 0").collect())
+    both = words + words[:3]
+    kept = [(i, w) for i, w in enumerate(words) if both.count(w) >= 3]
+    assert own == sorted((p, w, q, v) for x, (p, w) in enumerate(kept) for y, (q, v) in enumerate(kept) if x != y and abs(x - y) <= 5)
+
+
+def test_a_long_document_is_framed_by_many_tasks(spark):
+    tokens = spark.range(400_000).selectExpr("0L AS doc_id", "id AS pos", "concat('w', id % 1000) AS term")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = embed.skipgram_pairs(tokens, segment=10_000).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) >= 4 and sum(r["count"] for r in parts) == 2 * (400_000 * 5 - 15) and max(r["count"] for r in parts) < 0.6 * 4_000_000
+
+
+TEXTS = ["graph neural network graph neural network", "speech translation language speech translation language"] * 6
+
+
+@pytest.mark.parametrize("objective, words", [("skipgram", 50_000), ("cbow", 50_000), ("skipgram", 2)])
+def test_training_in_blocks(spark, objective, words):
+    pairs = embed.skipgram_pairs(lexical.tokens_long(corpus_of(spark, TEXTS)))
+    options = {"vector_size": 8, "epochs": 6, "batch": 64, "words_per_block": words, "lr": 0.1}
+    vectors, losses = blocksgd.train_pairs(pairs, objective, **options)
+    rows = {r["word"]: np.array(r["vector"]) for r in vectors.collect()}
+    assert len(rows) == 6 and len(losses) == 6 and losses[-1] < losses[0]
+    again, same = blocksgd.train_pairs(pairs.repartition(5), objective, **options)
+    assert all((rows[r["word"]] == np.array(r["vector"])).all() for r in again.collect()) and same == pytest.approx(losses)
+    with pytest.raises(ValueError, match="too small"):
+        blocksgd.train_pairs(pairs.where("false"))
+    with pytest.raises(ValueError, match="objective"):
+        blocksgd.train_pairs(pairs, "other")
+
+
+def test_words_of_one_company_are_near(spark):
+    pairs = embed.skipgram_pairs(lexical.tokens_long(corpus_of(spark, TEXTS * 4)))
+    vectors, _ = blocksgd.train_pairs(pairs, vector_size=8, epochs=15, batch=64, lr=0.2, words_per_block=3)
+    rows = {r["word"]: np.array(r["vector"]) / np.linalg.norm(r["vector"]) for r in vectors.collect()}
+    assert rows["graph"] @ rows["neural"] > rows["graph"] @ rows["speech"]
+    assert rows["speech"] @ rows["language"] > rows["network"] @ rows["language"]
+
+
+def test_a_step_changes_only_rows_it_met():
+    rows = lambda: [(i, np.full(4, 0.1 * i, dtype=np.float32).tobytes(), 0.0, 1 + (i == 3) * 10**9) for i in range(1, 6)]
+    ins, outs = blocksgd.Block(rows()), blocksgd.Block(rows())
+    loss = blocksgd.learn(ins, outs, ins.at(np.array([2, 2])), outs.at(np.array([4, 4])), np.random.default_rng(0), 0.1, 1)
+    assert loss > 0
+    assert np.flatnonzero(ins.squares).tolist() == [1] and np.flatnonzero(outs.squares).tolist() == [2, 3]
