@@ -13,6 +13,7 @@ from corpuscle.functions import vectors as V
 from corpuscle.functions.stopwords import ENGLISH
 from corpuscle.operators import corpus as C
 from corpuscle.operators import blocksgd, dense, embed, lexical, negatives
+from corpuscle.operators import sentences as S
 from corpuscle.operators import rank as R
 from corpuscle.sources import sinks
 from corpuscle.sources.readers import spread
@@ -325,6 +326,59 @@ def skipgram_pairs(spark, sf_dir):
     return embed.skipgram_pairs(tokens(spark, sf_dir)).groupBy("center", "context").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def _xlogy(x: str, y: str) -> str:
+    return f"(CASE WHEN {x} = 0 THEN 0.0 ELSE {x} * ln({y}) END)"
+
+
+def sql_likelihood_ratio(a: str, b: str, ab: str, n: str) -> str:
+    a, b, ab, n = (f"({x})::DOUBLE" for x in (a, b, ab, n))
+    p, p1, p2, out = f"({b} / {n})", f"({ab} / {a})", f"(({b} - {ab}) / nullif({n} - {a}, 0))", f"({n} - {a} - {b} + {ab})"
+    rest, other = f"({a} - {ab})", f"({b} - {ab})"
+    alone = f"{_xlogy(ab, p)} + {_xlogy(rest, f'(1 - {p})')} + {_xlogy(other, p)} + {_xlogy(out, f'(1 - {p})')}"
+    return f"(-2 * ({alone} - {_xlogy(ab, p1)} - {_xlogy(rest, f'(1 - {p1})')} - {_xlogy(other, p2)} - {_xlogy(out, f'(1 - {p2})')}))"
+
+
+_PLAIN = f"trim(regexp_replace(regexp_replace(regexp_replace(text, {_quoted(X.TAG)}, ' ', 'g'), {_quoted(X.URL)}, ' ', 'g'), {_quoted(X.BLANKS)}, ' ', 'g'))"
+
+
+def _core(word: str) -> str:
+    return f"regexp_replace({word}, {_quoted(S.AROUND)}, '', 'g')"
+
+
+def _kind(core: str) -> str:
+    return f"lower(regexp_replace({core}, {_quoted(S.AFTER)}, '', 'g'))"
+
+
+@query(rf"""WITH {D}, told AS (SELECT doc_id, list_filter(string_split({_PLAIN}, ' '), lambda w: w <> '') AS words FROM d),
+    said AS (SELECT doc_id, unnest(range(len(words)))::INT AS i, unnest(words) AS word, unnest(list_concat(words[2:], [NULL])) AS follows FROM told),
+    cores AS MATERIALIZED (SELECT doc_id, i, word, {_core('word')} AS w, {_core('follows')} AS n FROM said),
+    marked AS MATERIALIZED (SELECT doc_id, i, word, {_kind('w')} AS type, regexp_matches(w, '^\p{{Ll}}') AS is_lower, {_kind('n')} AS next, regexp_matches(n, '^\p{{Lu}}') AS is_upper,
+        CASE WHEN regexp_matches(w, '[!?]$') THEN '!' WHEN regexp_matches(w, '\.\.$') THEN '..' WHEN ends_with(w, '.') THEN '.' END AS mark FROM cores),
+    size AS (SELECT count(*)::DOUBLE AS total, (count(*) FILTER (mark = '.'))::DOUBLE / count(*) AS p FROM marked),
+    kinds AS MATERIALIZED (SELECT type, count(*) AS b, bool_or(is_lower) AS seen_lower, count(*) FILTER (mark = '.') AS ab FROM marked WHERE type <> '' GROUP BY type),
+    short AS (SELECT type FROM (SELECT type, length(replace(type, '.', '')) AS bare, b - ab AS rest, ab, p FROM kinds, size WHERE ab > 0 AND regexp_matches(type, '\p{{L}}'))
+        WHERE -2 * ({_xlogy('ab', 'p')} + {_xlogy('rest', '(1 - p)')} - {_xlogy('ab', str(S.ABBREVIATION_SHARE))} - {_xlogy('rest', f'(1 - {S.ABBREVIATION_SHARE})')})
+            * exp(-bare) * (length(type) - bare + 1) * pow(greatest(bare, 1)::DOUBLE, -rest) >= {S.ABBREVIATION}),
+    ends AS MATERIALIZED (SELECT m.*, s.type IS NOT NULL AS short FROM marked m LEFT JOIN short s USING (type) WHERE mark IS NOT NULL),
+    sure AS MATERIALIZED (SELECT * FROM ends WHERE mark = '!' OR (mark = '.' AND NOT short)),
+    breaks AS (SELECT count(*)::DOUBLE AS breaks FROM sure WHERE next IS NOT NULL),
+    starters AS (SELECT type AS next FROM (SELECT next AS type, count(*) AS began FROM sure WHERE next IS NOT NULL GROUP BY next) JOIN kinds USING (type), size, breaks
+        WHERE began * total > b * breaks AND {sql_likelihood_ratio('breaks', 'b', 'began', 'total')} >= {S.STARTER}),
+    bound AS (SELECT m.type, m.next FROM (SELECT type, next, count(*) AS met FROM ends WHERE mark = '.' AND short AND next IS NOT NULL GROUP BY ALL) m
+        JOIN kinds x ON x.type = m.type JOIN kinds y ON y.type = m.next, size
+        WHERE met * total > x.b::DOUBLE * y.b AND {sql_likelihood_ratio('x.b', 'y.b', 'met', 'total')} >= {S.COLLOCATION}),
+    stops AS (
+        SELECT doc_id, i FROM sure
+        UNION ALL SELECT doc_id, i FROM ends e WHERE mark = '.' AND short AND (next IS NULL OR (is_upper AND NOT EXISTS (FROM bound b WHERE b.type = e.type AND b.next = e.next)
+            AND (next IN (SELECT next FROM starters) OR next IN (SELECT type FROM kinds WHERE seen_lower))))
+        UNION ALL SELECT doc_id, i FROM ends WHERE mark = '..' AND (next IS NULL OR is_upper)),
+    parts AS (SELECT doc_id, i, word, coalesce(sum((s.i IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS sentence
+        FROM marked LEFT JOIN stops s USING (doc_id, i))
+    SELECT doc_id, sentence, min(i) AS start, count(*)::INT AS n_words, string_agg(word, ' ' ORDER BY i) AS text FROM parts GROUP BY doc_id, sentence""")
+def sentences(spark, sf_dir):
+    return S.sentences(corpus(spark, sf_dir))
+
+
 _ALIAS = f"""vocab AS (SELECT term, count(*) AS cnt FROM tok GROUP BY term HAVING count(*) >= 2),
     weight AS (SELECT term, greatest(1, round(pow(cnt, 0.75) * {negatives.SCALE}))::BIGINT AS w FROM vocab),
     size AS (SELECT count(*) AS n, sum(w)::BIGINT AS total FROM weight),
@@ -340,8 +394,8 @@ _ALIAS = f"""vocab AS (SELECT term, count(*) AS cnt FROM tok GROUP BY term HAVIN
 
 @query(f"""WITH {sql_tok()}, {_ALIAS},
     kept AS (SELECT doc_id, pos AS place, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos, term FROM tok SEMI JOIN vocab USING (term)),
-    pairs AS (SELECT a.doc_id, a.place AS pos, b.place AS at FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 5 AND a.pos + 5 AND a.pos <> b.pos),
-    hashed AS (SELECT md5('42:' || doc_id || ':' || pos || ':' || at || ':0') AS h FROM pairs),
+    pairs AS (SELECT a.doc_id, a.place AS pos, b.place AS there FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 5 AND a.pos + 5 AND a.pos <> b.pos),
+    hashed AS (SELECT md5('42:' || doc_id || ':' || pos || ':' || there || ':0') AS h FROM pairs),
     drawn AS (SELECT ('0x' || h[1:8])::BIGINT % n AS bucket, ('0x' || h[9:23])::BIGINT % total AS coin FROM hashed, size)
     SELECT CASE WHEN coin < keep THEN term ELSE other END AS term, count(*) AS drawn FROM drawn JOIN alias USING (bucket) GROUP BY 1""")
 def negative_draws(spark, sf_dir):

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuscle.session import written
+
 ANNOTATIONS = T.StructType(
     [
         T.StructField("arxiv_id", T.StringType()),  # read as text: a number would lose trailing zeros
@@ -23,6 +26,16 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ANNOTATIONS).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """``rows`` as read from files, with ``place``: file, offset of the block and number in it, ascending as the rows stand.
+
+    Nothing is sorted; rows and places are written to the shared folder, so every later pass sees the same. Files come
+    in the order of their paths.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return written(rows.select("*", place.alias("place")), "placed")
+
+
 def first_existing(spark: SparkSession, paths: Iterable[str]) -> str:
     """The first path that exists, on any file system that Spark knows. Raises FileNotFoundError."""
     paths = list(paths)
