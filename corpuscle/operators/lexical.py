@@ -29,10 +29,15 @@ def tokens_long(
     rows = docs.select(F.col(key).alias("doc_id"), terms.alias("terms"))
     if tag is not None:
         both = X.let(F.col("terms"), lambda w: F.zip_with(w, tag(w), lambda t, p: F.struct(t.alias("term"), p.alias("tag"))))
-        return rows.select("doc_id", F.posexplode(both).alias("pos", "t")).select("doc_id", "pos", "t.term", "t.tag")
+        return exploded(rows, both, "t").select("doc_id", "pos", "t.term", "t.tag")
     if ngram_range != (1, 1):
         rows = rows.select("doc_id", X.ngrams(F.col("terms"), *ngram_range).alias("terms"))
-    return rows.select("doc_id", F.posexplode("terms").alias("pos", "term"))
+    return exploded(rows, F.col("terms"), "term")
+
+
+def exploded(rows: DataFrame, values: Column, name: str) -> DataFrame:
+    """``(doc_id, pos, name)``: a row a value. The outer form, as Spark would compute ``values`` twice to skip empty ones."""
+    return rows.select("doc_id", F.posexplode_outer(values).alias("pos", name)).where("pos is not null")
 
 
 def lemmas(tokens: DataFrame, known_terms: DataFrame | None = None, tag: Tokeniser | None = None) -> DataFrame:

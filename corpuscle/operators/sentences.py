@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from corpuscle.functions import text as X
 from corpuscle.session import written
 
+from .lexical import exploded
+
 #: Fixed values of the published method: the share of periods after an abbreviation, and the ratios' thresholds.
 ABBREVIATION_SHARE, ABBREVIATION, STARTER, COLLOCATION = 0.99, 0.3, 30.0, 7.88
 #: Marks around a word, and marks of a clause after it.
@@ -38,7 +40,8 @@ def marked(told: DataFrame) -> DataFrame:
 
     mark: ``!`` (or ?), ``.``, ``..`` (several periods) or none. ``next`` is null at the end of a document.
     """
-    rows = told.select("doc_id", F.posexplode(X.let(F.col("words"), lambda w: F.transform(w, lambda x, i: F.struct(x.alias("w"), F.get(w, i + 1).alias("n"))))).alias("i", "p"))
+    both = X.let(F.col("words"), lambda w: F.transform(w, lambda x, i: F.struct(x.alias("w"), F.get(w, i + 1).alias("n"))))
+    rows = exploded(told, both, "p").withColumnRenamed("pos", "i")
     core, after = F.regexp_replace("p.w", AROUND, ""), F.regexp_replace("p.n", AROUND, "")
     rows = rows.select("doc_id", "i", core.alias("w"), after.alias("n"))
     mark = F.when(F.col("w").rlike("[!?]$"), "!").when(F.col("w").rlike(r"\.\.$"), "..").when(F.col("w").endswith("."), ".")

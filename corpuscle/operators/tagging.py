@@ -19,8 +19,8 @@ SMOOTHING = 0.5
 
 def piece_counts(corpus: DataFrame, text: str = "text") -> DataFrame:
     """``(piece, n)``: the corpus' distinct pieces between sure words, counted before and after one shuffle."""
-    told = corpus.select(F.explode(G.pieces(X.tokens(F.col(text)))).alias("piece"))
-    return told.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    told = corpus.select(F.explode_outer(G.pieces(X.tokens(F.col(text)))).alias("piece"))  # outer: see lexical.exploded
+    return told.where("piece is not null").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
 def expected(follows: np.ndarray, emits: np.ndarray, codes: np.ndarray, before: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:

@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuscle import session
 from corpuscle.operators import corpus as C
-from corpuscle.operators import embed, lexical
+from corpuscle.operators import dense, embed, lexical
 from corpuscle.operators import rank as R
 from corpuscle.plans import service, validate
 from corpuscle.plans.engine import Options, SearchEngine, repl
@@ -189,3 +190,50 @@ def test_stream(spark, engine, tmp_path):
 def test_skewed_dedup(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
     assert C.dedup_first(docs).count() == docs.select("text").distinct().count()
+
+
+def tables(spark):
+    return {p.name for p in Path(session.shared_dir(spark).removeprefix("file://"), "corpuscle").glob("*")}
+
+
+def test_a_warm_engine_and_its_searches_write_nothing(spark, tmp_path):
+    docs, options = readers.corpus_of(spark, ["graph graphs network", "speech"]), Options(lemmatise=True, min_count=1)
+    vectors = spark.createDataFrame([("graph", [1.0, 0.0])], "word string, vector array<float>")
+    SearchEngine(docs, str(tmp_path), options, word_vectors=vectors)
+    before, cached = tables(spark), {p.name for p in tmp_path.glob("*/*")}
+    engine = SearchEngine(docs, str(tmp_path), options, word_vectors=vectors)
+    assert not any(t.startswith(("counts", "tokens")) for t in tables(spark) - before)
+    assert {p.name for p in tmp_path.glob("*/*")} == cached
+    before = tables(spark)
+    for query in ("graphs", "speech network"):
+        assert engine.search(query, 1)["methods"][0]["results"]
+    assert tables(spark) == before
+
+
+class Nothing:
+    key = "nothing"
+
+    def search(self, queries, k):
+        return queries.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+
+
+def test_a_method_without_hits_is_told(spark, tmp_path):
+    vectors = spark.createDataFrame([("graph", [1.0])], "word string, vector array<float>")
+    engine = SearchEngine(readers.corpus_of(spark, ["graph"]), str(tmp_path), word_vectors=vectors, more=[Nothing()])
+    assert {m["key"]: len(m["results"]) for m in engine.search("graph", 2)["methods"]} == {"tfidf": 1, "word2vec": 1, "nothing": 0}
+
+
+def test_overlapping_writes_leave_the_setting(spark, tmp_path):
+    spark.conf.set(session.CLEANUP, "false")
+    threads = [threading.Thread(target=session.save, args=(spark.range(50_000).repartition(3), f"{tmp_path}/{i}")) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert spark.conf.get(session.CLEANUP) == "false" and all(spark.read.parquet(f"{tmp_path}/{i}").count() == 50_000 for i in range(4))
+
+
+def test_vectors_of_two_widths(spark):
+    docs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0])], "doc_id long, vector array<double>")
+    with pytest.raises(ValueError, match="several dimensions"):
+        dense.cosine_topk(docs, docs.withColumnRenamed("doc_id", "query_id"), 1)
