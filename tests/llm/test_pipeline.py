@@ -58,5 +58,5 @@ def test_odd_rows(spark, docs_of, stage):
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in __spark_entry__.queries()
