@@ -12,7 +12,7 @@ from corpuscle.functions import text as X
 from corpuscle.functions import vectors as V
 from corpuscle.functions.stopwords import ENGLISH
 from corpuscle.operators import corpus as C
-from corpuscle.operators import blocksgd, dense, embed, lexical, negatives
+from corpuscle.operators import dense, embed, lexical, negatives
 from corpuscle.operators import sentences as S
 from corpuscle.operators import rank as R
 from corpuscle.sources import sinks
@@ -609,16 +609,6 @@ def word2vec_neighbours(spark, sf_dir):
     return dense.neighbours(vectors, words)
 
 
-@query()
-def block_word2vec_search(spark, sf_dir):
-    """All items against all documents by vectors that were learned in blocks, 100 numbers and 5 epochs."""
-    toks, docs = tokens(spark, sf_dir), corpus(spark, sf_dir)
-    vectors, _ = blocksgd.train_pairs(embed.skipgram_pairs(toks))
-    q = benchmark(spark, sf_dir).select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
-    means = dense.mean_vectors(lexical.tokens_long(q), vectors, q, 100).withColumnRenamed("doc_id", "query_id")
-    return dense.cosine_topk(dense.mean_vectors(toks, vectors, docs, 100), means, 5)
-
-
 def _sql_encoded(name: str, rows: str) -> str:
     """Vectors of the hashing encoder in long form: 64 places, a word counts 1 or -1 at one of them."""
     plain = f"trim(regexp_replace(regexp_replace(coalesce(t, ''), {_quoted(X.TAG)}, ' ', 'g'), {_quoted(X.BLANKS)}, ' ', 'g'))"
