@@ -53,6 +53,13 @@ def _number(digest: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")
 
 
+def _placed(pairs: DataFrame, size, negatives: int, seed: int) -> DataFrame:
+    """``pairs`` with each draw's ``bucket`` and ``__coin``."""
+    asked = pairs.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), "pos", "at", "__k"))
+    return asked.withColumn("__h", digest).withColumns({"bucket": _number(F.col("__h"), 1, 8) % size["n"], "__coin": _number(F.col("__h"), 9, 15) % size["total"]})
+
+
 def draws(pairs: DataFrame, table: DataFrame, negatives: int = 1, seed: int = 42) -> DataFrame:
     """``pairs`` with ``drawn``, ``negatives`` rows each: words drawn by the MD5 of seed, document, both places and number.
 
@@ -62,14 +69,24 @@ def draws(pairs: DataFrame, table: DataFrame, negatives: int = 1, seed: int = 42
     size = table.select("n", "total").first()
     if size is None:
         return pairs.withColumn("drawn", F.lit(None).cast("string")).where("false")
-    asked = pairs.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), "pos", "at", "__k"))
-    drawn = asked.withColumn("__h", digest).withColumns({"bucket": _number(F.col("__h"), 1, 8) % size["n"], "__coin": _number(F.col("__h"), 9, 15) % size["total"]})
+    drawn = _placed(pairs, size, negatives, seed)
     buckets = table.select("bucket", "term", "keep", "other")
     found = drawn.join(F.broadcast(buckets) if size["n"] <= BROADCAST_ROWS else buckets, "bucket")
     return found.select(*pairs.columns, F.when(F.col("__coin") < F.col("keep"), F.col("term")).otherwise(F.col("other")).alias("drawn"))
 
 
+def draw_counts(pairs: DataFrame, table: DataFrame, negatives: int = 1, seed: int = 42) -> DataFrame:
+    """``(term, cnt)``: how often ``draws`` draws each word. Only its bucket and coin bear on a draw, so nothing else of a pair moves."""
+    size = table.select("n", "total").first()
+    if size is None:
+        return table.select("term", F.lit(0).cast("long").alias("cnt"))
+    buckets = table.select("bucket", "term", "keep", "other")
+    drawn = _placed(pairs.select("doc_id", "pos", "at"), size, negatives, seed).select("bucket", "__coin")
+    found = drawn.join(F.broadcast(buckets) if size["n"] <= BROADCAST_ROWS else buckets, "bucket")
+    word = F.when(F.col("__coin") < F.col("keep"), F.col("term")).otherwise(F.col("other")).alias("term")
+    return found.select(word).groupBy("term").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def with_negatives(pairs: DataFrame, table: DataFrame, negatives: int = 1, seed: int = 42) -> DataFrame:
     """``(center, context, label)``: each pair (1) and the same centre with words drawn from ``table`` (0).
 
