@@ -31,3 +31,12 @@ def test_fingerprint_brings_no_text_to_the_driver(spark, monkeypatch):
     docs = spark.createDataFrame([(3, "cé"), (1, "a"), (2, None), (0, "z" * 5000)], "doc_id long, text string")
     monkeypatch.setattr(type(docs), "toLocalIterator", None)
     assert C.fingerprint(docs) == hashlib.sha1(("z" * 5000 + "a" + "cé").encode()).hexdigest()[:16]
+
+
+def test_normalised_weights_read_the_counts_once_for_weights_and_once_for_terms(spark):
+    index = lexical.fit(spark.createDataFrame(list(enumerate(["red fox dog", "fox fox owl", "owl"])), "doc_id long, text string"))
+    top = lexical.doc_top_terms(index, 1)
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
+    want = {(r["doc_id"], r["term"]): round(r["w"] / r["norm"], 6) for r in index.weights.join(index.norms, "doc_id").collect()}
+    assert {(r["doc_id"], r["term"]): r["weight"] for r in lexical.normalised(index).collect()} == want
