@@ -40,3 +40,43 @@ def test_normalised_weights_read_the_counts_once_for_weights_and_once_for_terms(
     assert plan.count("Relation [") == 2
     want = {(r["doc_id"], r["term"]): round(r["w"] / r["norm"], 6) for r in index.weights.join(index.norms, "doc_id").collect()}
     assert {(r["doc_id"], r["term"]): r["weight"] for r in lexical.normalised(index).collect()} == want
+
+
+DOCS = ["red fox dog foxes", "fox fox owl running", "owl run", "", "red red owl hen"]
+
+
+def ranked(spark, index, k=3):
+    q = spark.createDataFrame([(0, "foxes owl"), (1, "red"), (2, "nothing")], "query_id long, query string")
+    return sorted(map(tuple, lexical.search(index, q, k).select("query_id", "doc_id", "score", "rank").collect()))
+
+
+def test_search_shuffles_no_pair_but_the_best(spark, monkeypatch):
+    """Packed rows, a vocabulary that is broadcast in part, and products grouped by shuffle give the same."""
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string").coalesce(1)  # one task
+    for how in ({}, {"ngram_range": (1, 2)}, {"lemmatise": True}, {"sublinear": False}):
+        index = lexical.fit(docs, **how)
+        asked = spark.createDataFrame([(i, "red owl") for i in range(2)], "query_id long, query string")
+        assert index.packed.count() == 5 and lexical.best(index, asked, 1).count() < lexical.score(index, asked).count()
+        want = ranked(spark, index)
+        for name, value in (("MATRIX", 0), ("PRODUCT", 1), ("WIDE_ROWS", 1)):
+            with monkeypatch.context() as m:
+                m.setattr(lexical, name, value)
+                assert ranked(spark, lexical.fit(docs, **how)) == want
+
+
+def test_texts_of_one_id_are_counted_together(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (1, "red owl"), (2, "")], "doc_id long, text string")
+    index = lexical.fit(docs)
+    assert sorted(map(tuple, index.counts.collect())) == [(1, "fox", 1), (1, "owl", 1), (1, "red", 2)] and index.n_docs == 3
+
+
+def test_reweighted_index_is_that_of_a_new_fit(spark):
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
+    again = lexical.reweighted(lexical.fit(docs), False)
+    assert ranked(spark, again) == ranked(spark, lexical.fit(docs, sublinear=False))
+
+
+def test_lemma_frequency_is_that_of_the_lemmas(spark):
+    toks = lexical.tokens_long(spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string"))
+    want = sorted(map(tuple, lexical.term_frequency(lexical.lemmas(toks)).collect()))
+    assert sorted(map(tuple, lexical.lemma_frequency(toks).collect())) == want and ("fox", 4) in want
