@@ -1,19 +1,24 @@
-"""Parts of speech of words in their context: a hidden Markov model over word classes, decoded as a column fold.
+"""Parts of speech of words in their context: a hidden Markov model over word classes, decoded by Viterbi's recursion.
 
 A word's class says which tags it may have: a lexicon's entry or the word's ending. Costs are whole numbers
 (thousandths of a bit), so the cheapest sequence of tags is exact, and of equally cheap ones the least is taken. Words
-with one possible tag cut a sequence into pieces that can be decoded by themselves, so a fold is never much longer
-than the distance between two such words.
+with one possible tag cut a sequence into pieces that can be decoded by themselves (``pieces``, for fitting a model).
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscle.session import ship
+
 from .text import let
 
 #: A letter a tag, in ASCII order.
@@ -127,32 +132,87 @@ class Tagger:
         return cls(tuple(rows), tuple((code, tuple((t, _cost(w / totals[t])) for t, w in sorted(own.items()))) for code, own in sorted(emits.items())))
 
     def __call__(self, terms: Column) -> Column:
-        letters = F.array_join(F.transform(pieces(terms), self._decoded), "")
-        names = F.create_map(*[F.lit(x) for pair in TAGS.items() for x in pair])
-        return F.transform(F.regexp_extract_all(letters, F.lit("."), F.lit(0)), lambda t: F.element_at(names, t))
-
-    def _decoded(self, piece: Column) -> Column:
-        """The cheapest tags' letters of a piece, by Viterbi's recursion: one state a tag that the word may have."""
-        into = {t: [dict(self.follows)[before][i] for before in "^" + LETTERS] for i, t in enumerate(LETTERS)}
-
-        def option(t: str, cost: int) -> Column:
-            return F.struct(F.lit(cost).alias("cost"), F.lit(t).alias("t"), F.array(*map(F.lit, into[t])).alias("into"))
-
-        table = F.create_map(*[x for code, own in self.emits for x in (F.lit(code), F.array(*[option(t, c) for t, c in own]))])
-        sure = {code: own[0][0] for code, own in self.emits if len(own) == 1}
-        before = F.create_map(F.lit("^"), F.lit(0), *[F.lit(x) for code, t in sure.items() for x in (code, 1 + LETTERS.index(t))])
-        places = F.create_map(*[F.lit(x) for i, t in enumerate(LETTERS) for x in (t, 1 + i)])
-
-        def step(ways: Column, code: Column) -> Column:
-            def best(o: Column) -> Column:
-                options = F.transform(ways, lambda w: F.struct((w["c"] + F.get(o["into"], w["t"])).alias("c"), w["p"].alias("p")))
-                return let(F.array_min(options), lambda w: F.struct((w["c"] + o["cost"]).alias("c"), F.concat(w["p"], o["t"]).alias("p"), F.element_at(places, o["t"]).alias("t")))
-
-            return F.transform(F.element_at(table, code), best)
+        if spark := SparkSession.getActiveSession():
+            ship(spark)
+        return F.arrow_udf(self.tags, "array<string>")(terms)
+
+    def tags(self, terms: pa.Array) -> pa.Array:
+        """The tags of lists of words, null where a list is."""
+        ends = np.cumsum(pc.fill_null(terms.value_lengths(), 0).to_numpy(zero_copy_only=False))
+        codes, start, begin, letters = _classes(terms.flatten()).tobytes(), _start(self), 0, bytearray()
+        for end in ends.tolist():
+            ways, path = start, []
+            for code in codes[begin:end]:
+                ways = ways[code]
+                path.append(ways)
+            t, own = ways.best, bytearray()
+            for ways in reversed(path):
+                own.append(t)
+                t = ways.back[t]
+            own.reverse()
+            letters += own
+            begin = end
+        if len(start.known) > KNOWN_WAYS:
+            _start.cache_clear()
+        names = pa.array(list(TAGS.values())).take(pa.array(np.frombuffer(letters, np.uint8)))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), names, mask=terms.is_null())
+
+
+#: States of the recursion that a process keeps between batches.
+KNOWN_WAYS = 200_000
+
+
+class _Ways(dict):
+    """A state of Viterbi's recursion: by class of the next word (ASCII), the state after it, made when first asked for.
+
+    ``ways``: the last tag and the cost of the cheapest way to each tag that the word may have, less the least such cost, in the
+    order of the ways' letters. ``back``: of each of these tags the one before. So equal states are met again and
+    again, and a word takes a look into a table instead of a comparison of costs.
+    """
 
-        first = F.element_at(before, F.substring(piece, 1, 1))
-        start = F.array(F.struct(F.lit(0).cast("long").alias("c"), F.lit("").alias("p"), first.alias("t")))
-        return F.aggregate(F.regexp_extract_all(F.substr(piece, F.lit(2)), F.lit("."), F.lit(0)), start, step, lambda ways: F.array_min(ways)["p"])
+    def __init__(self, model: tuple[dict, dict], known: dict, ways: tuple[tuple[int, int], ...], back: tuple[int, ...]):
+        super().__init__()
+        self.model, self.known, self.ways, self.back = model, known, ways, back
+        self.best = min(ways, key=lambda w: w[1])[0]  # the first of equally cheap ones
+
+    def __missing__(self, code: int) -> _Ways:
+        follows, emits = self.model
+        made, back = [], [0] * len(LETTERS)
+        for t, cost in emits[code]:
+            reach = [c + follows[before][t] for before, c in self.ways]
+            place = reach.index(min(reach))
+            made.append((place, t, reach[place] + cost))
+            back[t] = self.ways[place][0]
+        least = min(cost for _, _, cost in made)
+        key = tuple((t, cost - least) for _, t, cost in sorted(made)), tuple(back)
+        if key not in self.known:
+            self.known[key] = _Ways(self.model, self.known, *key)
+        self[code] = self.known[key]
+        return self[code]
+
+
+@lru_cache(maxsize=4)
+def _start(tagger: Tagger) -> _Ways:
+    """The state before the first word; tags are their places in LETTERS, and -1 at the start."""
+    follows = {LETTERS.find(before): own for before, own in tagger.follows}
+    emits = {ord(code): [(LETTERS.index(t), cost) for t, cost in own] for code, own in tagger.emits}
+    return _Ways((follows, emits), {}, ((-1, 0),), ())
+
+
+def _classes(words: pa.Array) -> np.ndarray:
+    """As ``class_of``, in ASCII (uint8); found once a distinct word."""
+    coded = pc.fill_null(words, "").dictionary_encode()
+    own = coded.dictionary
+    codes = np.full(len(own), ord(ENDINGS[-1][0]), np.uint8)
+    at = pc.index_in(own, value_set=pa.array(list(WORDS)))
+    known = at.is_valid().to_numpy(zero_copy_only=False)
+    codes[known] = np.frombuffer("".join(WORDS.values()).encode(), np.uint8)[at.drop_null().to_numpy()]
+    left = np.flatnonzero(~known)
+    for code, pattern, _ in ENDINGS[:-1]:
+        found = pc.match_substring_regex(own.take(pa.array(left)), pattern).to_numpy(zero_copy_only=False)
+        codes[left[found]] = ord(code)
+        left = left[~found]
+    return codes[coded.indices.to_numpy()]
 
 
 def seed_weights() -> tuple[dict[str, dict[str, float]], dict[str, dict[str, float]]]:

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,17 @@ def test_long_sequences_are_cut(spark):
     assert got["t"][:3] == cheapest(G.SEED, words[:3])
 
 
+def test_states_are_met_again():
+    """Words without a sure one among them: a word costs a look into a table, however long the sequence."""
+    rng = np.random.default_rng(2)
+    unsure = [w for w in WORDS if classes(w) not in G.SURE]
+    rows = [[str(w) for w in rng.choice(unsure, n)] for n in [5, 6, 0, 40_000]]
+    got = G.SEED.tags(pa.array([*rows, None, ["tests", None]], pa.list_(pa.string()))).to_pylist()
+    assert got[:2] == [cheapest(G.SEED, r) for r in rows[:2]] and got[2] == [] and len(got[3]) == 40_000
+    assert got[4] is None and got[5] == cheapest(G.SEED, ["tests", "node"])
+    assert len(G._start(G.SEED).known) < 2_000
+
+
 def test_expectations_against_all_paths():
     """Forward and backward sums are those over every sequence of tags."""
     follows, emits, names = tagging._arrays(G.seed_weights())
