@@ -154,3 +154,39 @@ def test_mean_vectors_of_a_large_vocabulary(spark, monkeypatch):
     monkeypatch.setattr(dense, "BROADCAST_NUMBERS", 0)
     got = {r["doc_id"]: r["vector"] for r in dense.mean_vectors(lexical.tokens_long(docs), vectors, docs, 2).collect()}
     assert got == {0: [2.0, 1.0], 1: [0.0, 0.0], 2: [0.0, 0.0]}
+
+
+def test_packed_means_are_those_of_counts(spark, monkeypatch):
+    """In one part, in several, and beyond PARTS: the same means; no row a count is made."""
+    docs = corpus_of(spark, ["graph node graph", "edge node unknown", "", "unknown", "node edge graph tree leaf"])
+    vectors = spark.createDataFrame([(w, [float(i), i * i / 4]) for i, w in enumerate(["graph", "node", "edge", "tree", "leaf"])], "word string, vector array<float>")
+    own = lexical.counted(docs)[0]
+    counts = lexical.unpacked(own)
+    want = {r["doc_id"]: r["vector"] for r in dense.mean_vectors(counts, vectors, counts.select("doc_id").distinct(), 2).collect()}
+    monkeypatch.setattr(dense, "GATHERED", 2)
+    for numbers, parts in ((100, 16), (4, 16), (4, 1)):
+        monkeypatch.setattr(dense, "BROADCAST_NUMBERS", numbers)
+        monkeypatch.setattr(dense, "PARTS", parts)
+        assert {r["doc_id"]: r["vector"] for r in dense.packed_means(own, vectors, 2).collect()} == want
+
+
+@pytest.mark.parametrize("tag", [None, G.SEED])
+def test_forms_by_hash_are_those_of_the_join(spark, monkeypatch, tag):
+    """More forms than WIDE_ROWS are told by hash and rule; beyond FORM_ROWS, or where hashes meet, terms are joined."""
+    docs = corpus_of(spark, [*TEXTS, "Tested tests test; children and a child, studies study.", ""])
+    monkeypatch.setattr(lexical, "WIDE_ROWS", 1)
+
+    def rows():
+        own, *_ = lexical.counted(docs, lemmatise=True, tag=tag)
+        return sorted((r["doc_id"], sorted(map(tuple, r["own"]))) for r in own.collect())
+
+    got, joined = rows(), []
+    with monkeypatch.context() as m:
+        m.setattr(lexical, "lemma_grams", lambda tokens, n: joined.append(1) or tokens)
+        assert rows() == got and not joined
+        m.setattr(lexical, "FORM_ROWS", 0)
+        assert rows() == got and joined
+        m.setattr(lexical, "FORM_ROWS", 100)
+        m.setattr(lexical, "hashes_apart", lambda v: False)
+        assert rows() == got and len(joined) == 2
+    assert not lexical.hashes_apart(spark.createDataFrame([("a",), ("a",)], "term string"))
