@@ -4,6 +4,7 @@ import hashlib
 
 from corpuscle.operators import corpus as C
 from corpuscle.operators import embed, lexical, negatives
+from corpuscle.plans import registry
 
 TEXTS = ["red fox red fox red", "red dog fox dog", "fox", "dog red red"]
 
@@ -80,3 +81,15 @@ def test_lemma_frequency_is_that_of_the_lemmas(spark):
     toks = lexical.tokens_long(spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string"))
     want = sorted(map(tuple, lexical.term_frequency(lexical.lemmas(toks)).collect()))
     assert sorted(map(tuple, lexical.lemma_frequency(toks).collect())) == want and ("fox", 4) in want
+
+
+def test_hits_do_not_shuffle_texts(spark):
+    """The ranked rows are a table of known size, so they go to the documents."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+    try:
+        for made in (registry.search_hits, registry.response_json):
+            plan = made(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
