@@ -93,3 +93,45 @@ def test_hits_do_not_shuffle_texts(spark):
             assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_norms_are_taken_where_documents_lie(spark, monkeypatch):
+    """Terms of one document are not told, and weights are not grouped again for norms, but where terms are too many."""
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
+    for how in ({}, {"max_features": 3}, {"lemmatise": True}, {"sublinear": False}, {"ngram_range": (1, 2)}):
+        index = lexical.fit(docs, **how)
+        hashes, _, other = lexical._told_weights(index).value
+        assert len(hashes) == (3 if "max_features" in how else index.terms.where("df > 1").count()) and (other > 0) == ("max_features" not in how)
+        want = ranked(spark, index, 9)
+        index.norms = None
+        assert ranked(spark, index, 9) == want
+        with monkeypatch.context() as m:
+            m.setattr(lexical, "TOLD_ROWS", 0)
+            assert ranked(spark, lexical.fit(docs, **how), 9) == want
+
+
+def test_a_plain_corpus_is_cut_where_it_is_counted(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "cut", None)
+    index = lexical.fit(spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string"), stop_words=["owl"])
+    assert index.terms.where("term = 'owl'").isEmpty() and index.terms.where("term = 'fox'").first()["df"] == 2
+
+
+def test_words_are_counted_where_texts_are_cut(spark, monkeypatch):
+    docs = spark.createDataFrame([*enumerate(DOCS), (9, None)], "doc_id long, text string")
+    want = sorted(map(tuple, lexical.term_frequency(lexical.tokens_long(docs)).collect()))
+    for held in (lexical.HELD_TERMS, 3):
+        monkeypatch.setattr(lexical, "HELD_TERMS", held)
+        assert sorted(map(tuple, lexical.text_frequency(docs).collect())) == want
+    lemma = lambda t: sorted(map(tuple, lexical.lemma_frequency(t).collect()))
+    assert lemma(lexical.text_frequency(docs)) == lemma(lexical.tokens_long(docs))
+
+
+def test_lemmas_are_looked_up_once_a_document(spark, monkeypatch):
+    """Counts of words are made into those of their lemmas, where these are few enough to be told and where not."""
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string").coalesce(1)
+    want = sorted(map(tuple, lexical.doc_term_counts(lexical.lemmas(lexical.tokens_long(docs))).collect()))
+    monkeypatch.setattr(lexical, "cut", None)
+    for rows in (lexical.FORM_ROWS, 0):
+        monkeypatch.setattr(lexical, "FORM_ROWS", rows)
+        own, _, n, _ = lexical.counted(docs, lemmatise=True)
+        assert sorted(map(tuple, lexical.unpacked(own).collect())) == want and n == 5 and own.count() == 5
