@@ -8,13 +8,16 @@ and not within a collocation. All statistics are counts of types, aggregated in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as X
-from corpuscle.session import written
-
-from .lexical import exploded
+from corpuscle.session import ship, written
 
 #: Fixed values of the published method: the share of periods after an abbreviation, and the ratios' thresholds.
 ABBREVIATION_SHARE, ABBREVIATION, STARTER, COLLOCATION = 0.99, 0.3, 30.0, 7.88
@@ -31,34 +34,79 @@ def few(rows: DataFrame) -> DataFrame:
 
 def words(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(doc_id, words)``: the words between blanks, without tags and URLs, case kept."""
-    plain = X.collapse(X.strip_urls(X.strip_html(F.col(text))))
-    return docs.select(F.col(key).alias("doc_id"), F.filter(F.split(F.coalesce(plain, F.lit("")), " "), lambda w: w != "").alias("words"))
+
+    def parted(texts: pa.Array) -> pa.Array:
+        plain = pc.replace_substring_regex(pc.replace_substring_regex(pc.fill_null(texts, ""), X.TAG, " "), X.URL, " ")
+        lists = pc.split_pattern(pc.replace_substring_regex(plain, f"[{X.SPACES[1:]}]", " "), " ")
+        flat = lists.flatten()
+        said = pc.not_equal(flat, "")
+        before = np.append(0, np.cumsum(said.to_numpy(zero_copy_only=False)))
+        ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+        return pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), flat.filter(said))
+
+    ship(docs.sparkSession)
+    return docs.select(F.col(key).alias("doc_id"), F.arrow_udf(parted, "array<string>")(F.col(text)).alias("words"))
+
+
+#: The marks that end a word, by their numbers.
+MARKS = ["!", "..", "."]
 
 
 def marked(told: DataFrame) -> DataFrame:
-    """``(doc_id, i, type, mark, next, upper)``: each word's type, the mark that ends it, the next word's type and case.
+    """``(doc_id, i, type, lower, mark, next, upper, n)``: each word that a mark ends, its type, the next word's type and case; n is 1.
 
-    mark: ``!`` (or ?), ``.``, ``..`` (several periods) or none. ``next`` is null at the end of a document.
+    Of other words, which are most, each batch tells type, case and how many they are (n) only. mark: ``!`` (or ?), ``.``, ``..``
+    (several periods) or none. ``next`` is null at the end of a document. Each distinct word of a batch is looked at once.
     """
-    both = X.let(F.col("words"), lambda w: F.transform(w, lambda x, i: F.struct(x.alias("w"), F.get(w, i + 1).alias("n"))))
-    rows = exploded(told, both, "p").withColumnRenamed("pos", "i")
-    core, after = F.regexp_replace("p.w", AROUND, ""), F.regexp_replace("p.n", AROUND, "")
-    rows = rows.select("doc_id", "i", core.alias("w"), after.alias("n"))
-    mark = F.when(F.col("w").rlike("[!?]$"), "!").when(F.col("w").rlike(r"\.\.$"), "..").when(F.col("w").endswith("."), ".")
-    kind = lambda c: F.lower(F.regexp_replace(c, AFTER, ""))
-    return rows.select("doc_id", "i", kind("w").alias("type"), F.col("w").rlike(r"^\p{Ll}").alias("lower"), mark.alias("mark"), kind("n").alias("next"), F.col("n").rlike(r"^\p{Lu}").alias("upper"))
+    ship(told.sparkSession)
+    fields = f"doc_id {told.schema['doc_id'].dataType.simpleString()}, i int, type string, lower boolean, mark string, next string, upper boolean, n bigint"
+    names = ["doc_id", "i", "type", "lower", "mark", "next", "upper", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            lists = got.column("words")
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            coded = lists.flatten().dictionary_encode()
+            ids, core = coded.indices.to_numpy(zero_copy_only=False), pc.replace_substring_regex(coded.dictionary, AROUND, "")
+            kind = pc.utf8_lower(pc.replace_substring_regex(core, AFTER, ""))
+            starts = lambda p: pc.match_substring_regex(core, p)
+            lower, upper = starts(r"^\p{Ll}"), starts(r"^\p{Lu}")
+            has = [starts(p).to_numpy(zero_copy_only=False) for p in (r"[!?]$", r"\.\.$", r"\.$")]
+            mark = np.select(has, [0, 1, 2], -1)[ids]
+            at = np.flatnonzero(mark >= 0)
+            row, ends = np.repeat(np.arange(len(size)), size)[at], np.cumsum(size)
+            last = at + 1 == ends[row]
+            here, after = pa.array(ids[at]), pa.array(ids[np.minimum(at + 1, len(ids) - 1)] if len(at) else ids[at], mask=last)
+            place = pa.array(at - (ends - size)[row], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [got.column("doc_id").take(pa.array(row)), place, kind.take(here), lower.take(here), pa.array(MARKS).take(pa.array(mark[at])), kind.take(after), upper.take(after), pa.array(np.ones(len(at), np.int64))], names
+            )
+            often = np.bincount(ids[mark < 0], minlength=len(core))
+            of = pa.array(np.flatnonzero(often))
+            none = lambda t: pa.nulls(len(of), t)
+            yield pa.RecordBatch.from_arrays(
+                [none(got.column("doc_id").type), none(pa.int32()), kind.take(of), lower.take(of), none(pa.string()), none(pa.string()), none(pa.bool_()), pa.array(often[often > 0], pa.int64())], names
+            )
+
+    return told.mapInArrow(run, fields)
 
 
 def _xlogy(x: Column, y: Column) -> Column:
     return F.when(x == 0, 0.0).otherwise(x * F.log(y))
 
 
+def types(rows: DataFrame) -> DataFrame:
+    """``(type, a, ab, seen_lower)``: how often each type stands, how often before a period, and whether in lower case; ``rows`` as of ``marked``."""
+    return rows.groupBy("type").agg(F.sum("n").alias("a"), F.count_if(F.coalesce(F.col("mark") == ".", F.lit(False))).alias("ab"), F.max("lower").alias("seen_lower"))
+
+
 def abbreviations(rows: DataFrame) -> DataFrame:
-    """``(type, score)`` of types that a period belongs to."""
-    n, periods = rows.agg(F.count(F.lit(1)), F.count_if(F.col("mark") == ".")).first()
+    """``(type, score)`` of types that a period belongs to; ``rows`` as of ``marked``, or their ``types``."""
+    kinds = rows if "seen_lower" in rows.columns else types(rows)
+    n, periods = kinds.agg(F.sum("a"), F.sum("ab")).first()
     if not periods:
-        return rows.select("type", F.lit(0.0).alias("score")).where("false")
-    counted = rows.where(F.col("type").rlike(r"\p{L}")).groupBy("type").agg(F.count_if(F.coalesce(F.col("mark") == ".", F.lit(False))).cast("double").alias("ab"), F.count(F.lit(1)).cast("double").alias("a"))
+        return kinds.select("type", F.lit(0.0).alias("score")).where("false")
+    counted = kinds.where(F.col("type").rlike(r"\p{L}")).select("type", F.col("ab").cast("double").alias("ab"), F.col("a").cast("double").alias("a"))
     p, q, ab, rest = periods / n, ABBREVIATION_SHARE, F.col("ab"), F.col("a") - F.col("ab")
     ratio = -2 * (_xlogy(ab, F.lit(p)) + _xlogy(rest, F.lit(1 - p)) - _xlogy(ab, F.lit(q)) - _xlogy(rest, F.lit(1 - q)))
     bare = F.length(F.replace("type", F.lit("."), F.lit("")))
@@ -75,20 +123,21 @@ def likelihood_ratio(a: Column, b: Column, ab: Column, n: float) -> Column:
 
 def boundaries(rows: DataFrame) -> DataFrame:
     """``(doc_id, i)``: the words that end a sentence; ``rows`` as of ``marked``, a table."""
-    short = written(abbreviations(rows).select("type", F.lit(True).alias("short")), "abbreviations")
+    kinds = written(types(rows), "types")
+    short = written(abbreviations(kinds).select("type", F.lit(True).alias("short")), "abbreviations")
     ends = written(rows.where("mark is not null").join(few(short), "type", "left").fillna(False, ["short"]), "ends")
     sure = ends.where((F.col("mark") == "!") | ((F.col("mark") == ".") & ~F.col("short")))
-    total = float(rows.count())
-    types = rows.where("type <> ''").groupBy("type").agg(F.count(F.lit(1)).cast("double").alias("b"), F.max("lower").alias("seen_lower"))
+    total = float(kinds.agg(F.sum("a")).first()[0] or 0)
+    known = kinds.where("type <> ''").select("type", F.col("a").cast("double").alias("b"), "seen_lower")
     began = sure.where("next is not null").groupBy(F.col("next").alias("type")).agg(F.count(F.lit(1)).cast("double").alias("ab"))
     breaks = float(sure.where("next is not null").count())
-    starters = began.join(types, "type").where(F.col("ab") * total > F.col("b") * breaks)
+    starters = began.join(known, "type").where(F.col("ab") * total > F.col("b") * breaks)
     starters = starters.where(likelihood_ratio(F.lit(breaks), F.col("b"), F.col("ab"), total) >= STARTER).select(F.col("type").alias("next"), F.lit(True).alias("starts"))
     asked = ends.where((F.col("mark") == ".") & F.col("short"))
     met = asked.where("next is not null").groupBy("type", "next").agg(F.count(F.lit(1)).cast("double").alias("ab"))
-    both = met.join(types.select("type", F.col("b").alias("a")), "type").join(types.select(F.col("type").alias("next"), "b"), "next")
+    both = met.join(known.select("type", F.col("b").alias("a")), "type").join(known.select(F.col("type").alias("next"), "b"), "next")
     bound = both.where((F.col("ab") * total > F.col("a") * F.col("b")) & (likelihood_ratio(F.col("a"), F.col("b"), F.col("ab"), total) >= COLLOCATION)).select("type", "next", F.lit(True).alias("bound"))
-    lower = types.where("seen_lower").select(F.col("type").alias("next"), "seen_lower")
+    lower = known.where("seen_lower").select(F.col("type").alias("next"), "seen_lower")
     tried = asked.join(bound, ["type", "next"], "left").join(starters, "next", "left").join(lower, "next", "left").fillna(False, ["bound", "starts", "seen_lower"])
     after = tried.where(F.col("next").isNull() | (F.col("upper") & ~F.col("bound") & (F.col("starts") | F.col("seen_lower"))))
     trailing = ends.where((F.col("mark") == "..") & (F.col("next").isNull() | F.col("upper")))

@@ -62,3 +62,12 @@ def test_dedup_plan_has_no_sort_of_texts(spark):
     assert sorted(r["doc_id"] for r in same.collect()) == list(range(700))
     nulls = spark.createDataFrame([(None, "a"), (5, "a"), (None, "b"), (None, "b"), (3, None)], "doc_id long, text string")
     assert sorted(map(repr, map(tuple, C.dedup_first(nulls).collect()))) == ["(5, 'a')", "(None, 'b')"]
+
+
+def test_words_without_a_mark_are_told_by_their_number(spark):
+    """Rows of a word each were most of the work; each batch now tells types of such words once."""
+    rows = S.marked(S.words(readers.corpus_of(spark, ["we ran. we ran! We", "we", None, ""]).coalesce(1))).collect()
+    ends = [(r["doc_id"], r["i"], r["type"], r["lower"], r["mark"], r["next"], r["upper"], r["n"]) for r in rows if r["mark"]]
+    assert ends == [(0, 1, "ran", True, ".", "we", False, 1), (0, 3, "ran", True, "!", "we", True, 1)]
+    assert sorted((r["type"], r["lower"], r["n"]) for r in rows if not r["mark"]) == [("we", False, 1), ("we", True, 3)]
+    assert {r["type"]: tuple(r)[1:] for r in S.types(S.marked(S.words(readers.corpus_of(spark, ["We ran. we ran"])))).collect()} == {"we": (2, 0, True), "ran": (2, 1, True)}
