@@ -85,6 +85,33 @@ def test_a_long_document_is_framed_by_many_tasks(spark):
     assert len(parts) >= 4 and sum(r["count"] for r in parts) == 2 * (400_000 * 5 - 15) and max(r["count"] for r in parts) < 0.6 * 4_000_000
 
 
+@pytest.mark.parametrize("words, told", [(500_000, 100), (7, 100), (1, 100), (7, 3)])
+def test_pairs_counted_where_documents_lie(spark, monkeypatch, words, told):
+    """However few words are counted at once, in many shares or as rows, pairs and counts are those of each document."""
+    monkeypatch.setattr(embed, "PAIRED_WORDS", words)
+    monkeypatch.setattr(embed, "BUCKET_PAIRS", 40)
+    monkeypatch.setattr(embed, "TOLD_WORDS", told)
+    rng = np.random.default_rng(8)
+    docs = [[f"w{i}" for i in rng.zipf(1.5, n) % 15] + ["once" + str(n)] for n in (40, 3, 1, 25)] + [[], None]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, terms array<string>")
+    every, want = [w for d in docs for w in d or []], {}
+    for d in docs:
+        kept = [w for w in d or [] if every.count(w) >= 2]
+        for i, a in enumerate(kept):
+            for j, b in enumerate(kept):
+                if 0 < abs(i - j) <= 5:
+                    want[a, b] = want.get((a, b), 0) + 1
+    got = [tuple(r) for r in embed.packed_pair_counts(rows).collect()]
+    assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+
+
+def test_no_row_a_word_is_sorted_or_framed_for_pair_counts(spark):
+    """Frames and groups of a row a word or pair held most of an executor's memory."""
+    rows = lexical.cut(corpus_of(spark, TEXTS))
+    plan = embed.packed_pair_counts(rows)._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Window", "Aggregate", "Sort", "Generate"))
+
+
 TEXTS = ["graph neural network graph neural network", "speech translation language speech translation language"] * 6
 
 
