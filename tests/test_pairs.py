@@ -85,6 +85,29 @@ def test_a_long_document_is_framed_by_many_tasks(spark):
     assert len(parts) >= 4 and sum(r["count"] for r in parts) == 2 * (400_000 * 5 - 15) and max(r["count"] for r in parts) < 0.6 * 4_000_000
 
 
+@pytest.mark.parametrize("words, most", [(50_000, 100), (3, 100), (50_000, 5)])
+def test_draws_counted_where_documents_lie(spark, monkeypatch, words, most):
+    """Draws are those of ``draw_counts``: also of long and null ids, of words counted a few at a time, and of too many to tell."""
+    rng, placed, asked = np.random.default_rng(9), negatives._placed, []
+    monkeypatch.setattr(negatives, "PAIRED_WORDS", words)
+    monkeypatch.setattr(negatives, "TOLD_WORDS", most)
+    monkeypatch.setattr(negatives, "SLICE", 4)
+    docs = [(i, [f"w{x}" for x in rng.zipf(1.4, n) % 20] + [f"once{n}"]) for i, n in (("a" * 60, 30), (None, 20), ("3", 150), ("12345", 1), ("é", 25))] + [("5", []), ("6", None)]
+    rows = spark.createDataFrame(docs, "doc_id string, terms array<string>")
+    toks = rows.select("doc_id", F.posexplode("terms").alias("pos", "term"))
+    want = {r["term"]: r["cnt"] for r in negatives.draw_counts(embed.skipgram_pairs(toks), negatives.alias_table(lexical.vocabulary(toks, 2)), 2).collect()}
+    monkeypatch.setattr(negatives, "_placed", lambda *a: asked.append(1) or placed(*a))
+    assert {r["term"]: r["cnt"] for r in negatives.packed_draw_counts(rows, negatives=2).collect()} == want
+    assert bool(asked) == (most == 5)  # a row a draw, which moved by shuffle, only where words are too many
+
+
+def test_the_query_of_draws_moves_none(spark, monkeypatch):
+    from corpuscle.plans import registry
+
+    monkeypatch.setattr(negatives, "_placed", None)
+    assert registry.QUERIES["negative_draws"](spark, "/root/testdata/sf0.001").count() > 1_000
+
+
 @pytest.mark.parametrize("words, told", [(500_000, 100), (7, 100), (1, 100), (7, 3)])
 def test_pairs_counted_where_documents_lie(spark, monkeypatch, words, told):
     """However few words are counted at once, in many shares or as rows, pairs and counts are those of each document."""
